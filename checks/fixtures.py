@@ -165,4 +165,5 @@ class Tables:
     def merged(self) -> DataFrame:
         from loadcurve.operators.joins import METADATA_COLUMNS, join_metadata, join_weather
 
-        return join_weather(join_metadata(self.orders_demand, self.metadata, METADATA_COLUMNS), self.daily)
+        located = join_metadata(self.orders_demand, self.metadata, METADATA_COLUMNS)
+        return join_weather(located, self.daily, size_bound=self.daily_raw)

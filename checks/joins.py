@@ -36,7 +36,8 @@ J2 = """SELECT d.unique_id, d."timestamp", d.y, m.location_id, w.temperature_2m
 
 @check("j02_readings_with_weather", J2)
 def _(t: Tables):
-    return joins.join_weather(joins.join_metadata(t.demand, t.metadata, ["location_id"]), t.weather)
+    located = joins.join_metadata(t.demand, t.metadata, ["location_id"])
+    return joins.join_weather(located, t.weather, size_bound=t.weather_raw)
 
 
 @check("j02_readings_with_weather_shuffled", J2)

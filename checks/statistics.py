@@ -49,7 +49,10 @@ X4 = """, x AS (SELECT d.y, w.temperature_2m, w.relative_humidity_2m, w.precipit
 @check("x04_demand_weather_correlation", X4.format(ids=""))
 def _(t: Tables):
     return rounded(
-        correlation.demand_weather_correlation(t.orders_demand, t.metadata, t.daily, DAILY_MEASURES, n_ids=None), 6
+        correlation.demand_weather_correlation(
+            t.orders_demand, t.metadata, t.daily, DAILY_MEASURES, n_ids=None, size_bound=t.daily_raw
+        ),
+        6,
     )
 
 
@@ -58,7 +61,10 @@ def _(t: Tables):
     X4.format(ids="""AND d.unique_id IN (SELECT unique_id FROM metadata ORDER BY md5('42:' || CAST(unique_id AS VARCHAR)), unique_id LIMIT 50)"""),
 )
 def _(t: Tables):
-    return rounded(correlation.demand_weather_correlation(t.orders_demand, t.metadata, t.daily, DAILY_MEASURES), 6)
+    sampled = correlation.demand_weather_correlation(
+        t.orders_demand, t.metadata, t.daily, DAILY_MEASURES, size_bound=t.daily_raw
+    )
+    return rounded(sampled, 6)
 
 
 X_FEATURES = ["cluster_size", *DAILY_MEASURES]

@@ -136,7 +136,7 @@ ROLLED = """, rolled AS (
 
 
 def _rolled(t: Tables):
-    from loadcurve.operators.timeseries import rolling_features
+    from loadcurve.operators.rolling import rolling_features
 
     return rounded(rolling_features(t.readings, windows=[24], stats=["mean", "rows"]), 5, "y_rolling_mean_24h")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from checks.aggregates import GAPS
 from checks.fixtures import DAILY_TIES, Tables
 from checks.registry import check, rounded
-from loadcurve.operators import timeseries, topk
+from loadcurve.operators import rolling, timeseries, topk
 
 
 @check("w01_gaps", GAPS + "SELECT * FROM gaps")
@@ -50,37 +50,37 @@ def hours_before(n: int) -> str:
     return f"RANGE BETWEEN {n * 3_600_000_000} PRECEDING AND 1 PRECEDING"
 
 
-ROLLED = [f"y_rolling_{s}_{n}h" for n in timeseries.FEATURE_WINDOWS for s in ("mean", "stddev")]
+ROLLED = [f"y_rolling_{s}_{n}h" for n in rolling.FEATURE_WINDOWS for s in ("mean", "stddev")]
 BY_TIME, BY_MICROS = '"timestamp"', 'epoch_us("timestamp")'
 
 
-@check("w02_rolling_stats", rolling_sql("readings", BY_TIME, 5, timeseries.FEATURE_WINDOWS, last_rows))
+@check("w02_rolling_stats", rolling_sql("readings", BY_TIME, 5, rolling.FEATURE_WINDOWS, last_rows))
 def _(t: Tables):
-    return rounded(timeseries.rolling_features(t.readings, windows=timeseries.FEATURE_WINDOWS), 5, *ROLLED)
+    return rounded(rolling.rolling_features(t.readings, windows=rolling.FEATURE_WINDOWS), 5, *ROLLED)
 
 
-@check("w02_rolling_stats_of_split_series", rolling_sql("readings", BY_TIME, 5, timeseries.FEATURE_WINDOWS, last_rows))
+@check("w02_rolling_stats_of_split_series", rolling_sql("readings", BY_TIME, 5, rolling.FEATURE_WINDOWS, last_rows))
 def _(t: Tables):
     # the way taken for series too long for one task; 20 rows force frames across several chunks
-    rolled = timeseries.rolling_features(t.readings, windows=timeseries.FEATURE_WINDOWS, max_series_rows=20)
+    rolled = rolling.rolling_features(t.readings, windows=rolling.FEATURE_WINDOWS, max_series_rows=20)
     return rounded(rolled, 5, *ROLLED)
 
 
-@check("w02_rolling_stats_before_record", rolling_sql("readings", BY_TIME, 5, timeseries.FEATURE_WINDOWS, rows_before))
+@check("w02_rolling_stats_before_record", rolling_sql("readings", BY_TIME, 5, rolling.FEATURE_WINDOWS, rows_before))
 def _(t: Tables):
-    rolled = timeseries.rolling_features(t.readings, windows=timeseries.FEATURE_WINDOWS, include_current=False)
+    rolled = rolling.rolling_features(t.readings, windows=rolling.FEATURE_WINDOWS, include_current=False)
     return rounded(rolled, 5, *ROLLED)
 
 
-@check("w02_rolling_stats_in_hours", rolling_sql("readings", BY_MICROS, 5, timeseries.FEATURE_WINDOWS, last_hours))
+@check("w02_rolling_stats_in_hours", rolling_sql("readings", BY_MICROS, 5, rolling.FEATURE_WINDOWS, last_hours))
 def _(t: Tables):
-    rolled = timeseries.rolling_features(t.readings, windows=timeseries.FEATURE_WINDOWS, frame="range")
+    rolled = rolling.rolling_features(t.readings, windows=rolling.FEATURE_WINDOWS, frame="range")
     return rounded(rolled, 5, *ROLLED)
 
 
 @check("w02_rolling_hours_of_split_series", rolling_sql("readings", BY_MICROS, 5, (3, 24), hours_before))
 def _(t: Tables):
-    rolled = timeseries.rolling_features(
+    rolled = rolling.rolling_features(
         t.readings, windows=(3, 24), frame="range", include_current=False, max_series_rows=20
     )
     return rounded(rolled, 5, *(c for c in ROLLED if c.endswith(("_3h", "_24h"))))
@@ -88,10 +88,10 @@ def _(t: Tables):
 
 @check(
     "w02_rolling_stats_with_tiebreak",
-    rolling_sql("orders_demand", '"timestamp", o_orderkey', 3, timeseries.DEFAULT_WINDOWS, last_rows, ", o_orderkey"),
+    rolling_sql("orders_demand", '"timestamp", o_orderkey', 3, rolling.DEFAULT_WINDOWS, last_rows, ", o_orderkey"),
 )
 def _(t: Tables):
-    rolled = timeseries.rolling_features(t.orders_demand, tiebreak=["o_orderkey"])
+    rolled = rolling.rolling_features(t.orders_demand, tiebreak=["o_orderkey"])
     return rounded(rolled, 3, *(c for c in ROLLED if not c.endswith("_48h")))
 
 

@@ -9,7 +9,7 @@ from checks.fixtures import DAILY_TIES, Tables
 from checks.joins import LOST
 from checks.registry import check, rounded
 from checks.windows import last_rows, rolling_sql
-from loadcurve.operators import timeseries
+from loadcurve.operators import rolling, timeseries
 from loadcurve.operators.joins import join_metadata
 from loadcurve.plans import completeness, features, merge, profiling, resampling, training
 from loadcurve.session import scratch_path
@@ -60,14 +60,14 @@ def _(t: Tables):
 
 
 FEATURES_SQL = (
-    ", f AS (" + rolling_sql("merged", '"timestamp", o_orderkey', 3, timeseries.FEATURE_WINDOWS, last_rows,
+    ", f AS (" + rolling_sql("merged", '"timestamp", o_orderkey', 3, rolling.FEATURE_WINDOWS, last_rows,
     """, o_orderkey, location_id, building_class, cluster_size, temperature_2m, relative_humidity_2m, precipitation, wind_speed_10m,
     CAST(year("timestamp") AS INTEGER) AS year, CAST(month("timestamp") AS INTEGER) AS month, CAST(day("timestamp") AS INTEGER) AS day,
     CAST(dayofweek("timestamp") + 1 AS INTEGER) AS dayofweek, CAST(dayofyear("timestamp") AS INTEGER) AS dayofyear,
     CAST(hour("timestamp") AS INTEGER) AS hour""")
     + ") SELECT * FROM f WHERE y IS NOT NULL AND y_rolling_mean_168h IS NOT NULL"
 )
-ROLLED = [f"y_rolling_{s}_{n}h" for n in timeseries.FEATURE_WINDOWS for s in ("mean", "stddev")]
+ROLLED = [f"y_rolling_{s}_{n}h" for n in rolling.FEATURE_WINDOWS for s in ("mean", "stddev")]
 
 
 @check("q2_feature_table", FEATURES_SQL)

@@ -68,6 +68,7 @@ def demand_weather_correlation(
     seed: int = 42,
     unit: str = "hour",
     target: str = "y",
+    size_bound: DataFrame | None = None,
 ) -> DataFrame:
     """Correlation of demand with weather at the same place and time.
 
@@ -78,4 +79,5 @@ def demand_weather_correlation(
         demand = having_ids(demand, ids)
         metadata = having_ids(metadata, ids)
     located = join_located(demand.select("unique_id", "timestamp", target), metadata)
-    return correlate_with(join_weather_truncated(located, weather, list(measures), unit=unit), target, measures)
+    joined = join_weather_truncated(located, weather, list(measures), unit=unit, size_bound=size_bound)
+    return correlate_with(joined, target, measures)

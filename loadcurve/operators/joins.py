@@ -50,14 +50,15 @@ def join_weather(
     timestamp: str = "timestamp",
     unit: str = "hour",
     key: str = "unique_id",
+    size_bound: DataFrame | None = None,
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the observation of the reading's location and truncated time; keep every reading.
 
-    One location and one timestamp column (the reading's) remain.
+    One location and one timestamp column (the reading's) remain.  ``size_bound`` is as in ``align``.
     """
     keys = [(F.col(location), location), (F.date_trunc(unit, F.col(timestamp)), timestamp)]
-    return align(readings, weather, keys, spread_by=[key, timestamp], max_broadcast_rows=max_broadcast_rows)
+    return align(readings, weather, keys, spread_by=[key, timestamp], size_bound=size_bound, max_broadcast_rows=max_broadcast_rows)
 
 
 def join_weather_truncated(
@@ -67,6 +68,7 @@ def join_weather_truncated(
     location: str = "location_id",
     timestamp: str = "timestamp",
     unit: str = "hour",
+    size_bound: DataFrame | None = None,
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Like ``join_weather`` with both sides truncated and the truncated time kept as ``timestamp_<unit>``."""
@@ -79,7 +81,7 @@ def join_weather_truncated(
     )
     keys = [(F.col(location), location), (F.col(stamp), stamp)]
     spread = [c for c in readings.columns if c != location]
-    return align(left, right, keys, spread_by=spread, max_broadcast_rows=max_broadcast_rows)
+    return align(left, right, keys, spread_by=spread, size_bound=size_bound, max_broadcast_rows=max_broadcast_rows)
 
 
 def keys_in_both(left: DataFrame, right: DataFrame, key: str = "location_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from loadcurve.functions.scalars import finite_or_null, is_missing, label_or, log1p_shifted, nan_to_null, percent
 from loadcurve.operators.quantiles import approximate_quantiles, exact_quantiles
-from loadcurve.operators.skew import attach, join_groups
+from loadcurve.operators.skew import attach, fits_broadcast, join_groups
 from loadcurve.sources.tables import require_columns
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -44,7 +44,7 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), exac
         F.max("value").alias("max"),
     )
     if exact:
-        quartiles = exact_quantiles(long, keys, "value", QUARTILES, few_groups=not by)
+        quartiles = exact_quantiles(long, keys, "value", QUARTILES, few_groups=None if by else True)
     else:
         quartiles = approximate_quantiles(long, keys, "value", QUARTILES)
     return join_groups(moments, quartiles, keys).select(
@@ -161,8 +161,9 @@ def boxplot_stats(
         .filter(F.col("value").isNotNull() & F.col(category).isNotNull())
     )
     keys = [category, "scale"]
-    quartiles = exact_quantiles(long, keys, "value", QUARTILES)
-    boxed = attach(long, quartiles, keys, how="inner", spread_by=["value"])
+    few = fits_broadcast(df.select(category).distinct())
+    quartiles = exact_quantiles(long, keys, "value", QUARTILES, few_groups=few)
+    boxed = attach(long, quartiles, keys, how="inner", spread_by=["value"], small=few)
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = (F.col("value") >= F.col("q25") - reach) & (F.col("value") <= F.col("q75") + reach)
     return boxed.groupBy(*keys, "q25", "q50", "q75").agg(

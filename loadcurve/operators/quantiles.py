@@ -1,8 +1,8 @@
 """Exact quantiles without holding a group's values in one task.
 
 Spark's ``percentile`` gathers all distinct values of a group in memory.  Here a bounded sketch
-first brackets every requested rank, then a second pass counts what lies below the bracket and
-ranks only the few values inside it.
+first brackets every requested rank; a second pass counts what lies below each bracket and ranks
+only the few values inside, about 4 in 10,000 per quantile.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadcurve.operators.skew import attach
+from loadcurve.operators.skew import attach, fits_broadcast
 
 SKETCH_ACCURACY = 10_000
 
@@ -37,72 +37,87 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     accuracy: int = SKETCH_ACCURACY,
-    few_groups: bool = False,
+    few_groups: bool | None = None,
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles of a double column.
 
-    Null and NaN values are ignored.  ``by`` needs at least one column.  ``few_groups`` says that
-    the number of groups is bounded by construction, which saves counting them.
+    Null and NaN values are ignored.  ``by`` needs at least one column.  ``few_groups`` says whether
+    the groups are known to be few; if left open they are counted.
     """
     probabilities = [float(p) for p in probabilities]
     names = quantile_names(probabilities)
+    index = range(len(probabilities))
     v = F.col(value)
     clean = df.filter(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("__v"))
+    if few_groups is None:
+        few_groups = fits_broadcast(clean.select(*by).distinct())
 
     # Brackets: the sketch may be off by n / accuracy ranks, so step twice that far outwards.
     margin = 2.0 / accuracy
     lows = [max(0.0, p - margin) for p in probabilities]
     highs = [min(1.0, p + margin) for p in probabilities]
-    sketch = clean.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", lows, accuracy).alias("__lo"),
-        F.percentile_approx("__v", highs, accuracy).alias("__hi"),
+    sketch = clean.groupBy(*by).agg(F.percentile_approx("__v", lows + highs, accuracy).alias("__s"))
+    brackets = sketch.select(
+        *by,
+        *(F.col("__s")[i].alias(f"__lo{i}") for i in index),
+        *(F.col("__s")[i + len(probabilities)].alias(f"__hi{i}") for i in index),
     )
 
-    # One record per value and probability: below the bracket (0), inside (1) or above (2).  The
-    # outer two shrink to one row per group in the map-side aggregation.
-    low, high = F.col("__lo")[F.col("__p")], F.col("__hi")[F.col("__p")]
-    side = F.when(F.col("__v") < low, 0).when(F.col("__v") <= high, 1).otherwise(2)
-    placed = (
-        attach(clean, sketch.drop("__n"), list(by), how="inner", spread_by=["__v"], null_safe=True, small=few_groups)
-        .withColumn("__p", F.explode(F.array(*(F.lit(i) for i in range(len(probabilities))))))
-        .withColumn("__side", side)
-        .withColumn("__inside", F.when(F.col("__side") == 1, F.col("__v")))
-    )
-    counted = placed.groupBy(*by, "__p", "__side", "__inside").agg(
-        F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max")
+    # Values inside a bracket keep their own record; all others of a group fold into one record
+    # that counts, per bracket, what lies below it and remembers its nearest outside neighbours.
+    # Both kinds shrink in the map-side aggregation.
+    placed = attach(clean, brackets, list(by), "inner", spread_by=["__v"], null_safe=True, small=few_groups)
+    inside = " or ".join(f"(__v >= __lo{i} and __v <= __hi{i})" for i in index)
+    outside_stats = [
+        F.expr(e)
+        for i in index
+        for e in (
+            f"count_if(not ({inside}) and __v < __lo{i}) as __below{i}",
+            f"max(case when __v < __lo{i} then __v end) as __prev{i}",
+            f"min(case when __v > __hi{i} then __v end) as __next{i}",
+            f"max(__lo{i}) as __lo{i}",
+            f"max(__hi{i}) as __hi{i}",
+        )
+    ]
+    counted = placed.groupBy(*by, F.expr(f"case when {inside} then __v end").alias("__x")).agg(
+        F.count(F.lit(1)).alias("__c"), *outside_stats
     )
 
-    # The rank sought is inside the bracket or right next to it.
-    group = Window.partitionBy(*by, "__p")
-    in_order = group.orderBy("__side", "__inside")
-    upto = F.sum("__c").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("__c").over(group)
-    p = F.element_at(F.array(*map(F.lit, probabilities)), F.col("__p") + 1)
-    ranked = (
-        counted.withColumn("__upto", upto)
-        .withColumn("__pos", p * (n - 1))
-        .withColumn("__r0", F.floor("__pos"))
-        .withColumn("__r1", F.ceil("__pos"))
+    # Rank of an inside value = outside values below its bracket + inside values before it.
+    group = Window.partitionBy(*by)
+    own = F.expr("case when __x is not null then __c else 0 end")
+    ranked = counted.withColumns(
+        {
+            "__n": F.sum("__c").over(group),
+            "__end": F.sum(own).over(group.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)),
+            **{f"__below{i}": F.sum(f"__below{i}").over(group) for i in index},
+        }
     )
-
-    def value_at(rank: str):
-        start, end, r = F.col("__upto") - F.col("__c"), F.col("__upto"), F.col(rank)
-        here = (r >= start) & (r < end)
-        edge = (
-            F.when(F.col("__side") == 1, F.col("__inside"))
-            .when((F.col("__side") == 0) & (r == end - 1), F.col("__max"))
-            .when((F.col("__side") == 2) & (r == start), F.col("__min"))
-            .otherwise(F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
+    picks = []
+    for i, p in enumerate(probabilities):
+        position = f"({p}D * (__n - 1))"
+        here = f"__x >= __lo{i} and __x <= __hi{i}"
+        for side, rank in (("a", f"floor({position})"), ("b", f"ceil({position})")):
+            at = f"{rank} - __below{i}"
+            picks.append(F.expr(f"max(case when {here} and {at} >= __end - __c and {at} < __end then __x end) as __{side}{i}"))
+            picks.append(F.expr(f"max({rank}) as __r{side}{i}"))
+        picks.append(F.expr(f"max({position}) as __pos{i}"))
+        # ranks of the bracket's ends, and its neighbours
+        picks.append(F.expr(f"max(__below{i}) + sum(case when __x < __lo{i} then __c else 0 end) as __from{i}"))
+        picks.append(F.expr(f"max(__below{i}) + sum(case when __x <= __hi{i} then __c else 0 end) as __to{i}"))
+        picks.append(F.expr(f"max(__prev{i}) as __prev{i}"))
+        picks.append(F.expr(f"min(__next{i}) as __next{i}"))
+    found = ranked.groupBy(*by).agg(*picks)
+
+    def value_at(side: str, i: int) -> str:
+        return (
+            f"case when __{side}{i} is not null then __{side}{i} "
+            f"when __r{side}{i} = __from{i} - 1 then __prev{i} when __r{side}{i} = __to{i} then __next{i} "
+            f"else cast(raise_error('quantile rank outside its bracket') as double) end"
         )
-        return F.max(F.when(here, edge))
 
-    per_probability = ranked.groupBy(*by, "__p").agg(
-        value_at("__r0").alias("__v0"),
-        value_at("__r1").alias("__v1"),
-        F.first(F.col("__pos") - F.col("__r0")).alias("__w"),
-    )
-    quantile = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.col("__w")
-    return per_probability.groupBy(*by).agg(
-        *(F.max(F.when(F.col("__p") == i, quantile)).alias(name) for i, name in enumerate(names))
+    quantiles = (
+        F.expr(f"{value_at('a', i)} + ({value_at('b', i)} - {value_at('a', i)}) * (__pos{i} - __ra{i})").alias(name)
+        for i, name in enumerate(names)
     )
+    return found.select(*by, *quantiles)

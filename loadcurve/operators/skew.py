@@ -36,7 +36,7 @@ def attach(
     how: str = "left",
     spread_by: Sequence[str] = (),
     null_safe: bool = False,
-    small: bool = False,
+    small: bool | None = None,
     max_broadcast_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -45,7 +45,7 @@ def attach(
     A side of checked small size is broadcast, so the fact is not shuffled at all.  Beyond that
     the dimension is copied ``salts`` times and each fact row picks the copy given by a hash of
     ``spread_by``, which cuts a hot key (and the rows with a null key) into that many tasks.
-    ``small`` says that the size of the dimension is bounded by construction.
+    ``small`` states whether the dimension is known to be small; if left open its rows are counted.
     """
     if how not in ("left", "inner"):
         raise ValueError("attach supports left and inner joins")
@@ -54,7 +54,9 @@ def attach(
     extra = [F.col(f"r.`{c}`") for c in dimension.columns if c not in keys]
     kept = [F.col(f"l.`{c}`") for c in fact.columns]
 
-    if small or fits_broadcast(dimension, max_broadcast_rows):
+    if small is None:
+        small = fits_broadcast(dimension, max_broadcast_rows)
+    if small:
         right = F.broadcast(right)
     elif spread_by:
         salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
@@ -78,6 +80,7 @@ def align(
     keys: Sequence[tuple[Column, str]],
     spread_by: Sequence[str],
     how: str = "left",
+    size_bound: DataFrame | None = None,
     max_broadcast_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -86,6 +89,8 @@ def align(
     ``keys`` pairs an expression over ``fact`` with a column of ``observed``; the observed key
     columns are left out of the result.  Fact rows with a null key match nothing, so they get a
     second key component that scatters them instead of sending all of them to one task.
+    The observations are broadcast if ``size_bound``, a frame with at least as many rows that is
+    cheap to count (such as the table before de-duplication), is small.
     """
     names = [f"__k{i}" for i in range(len(keys))]
     left = fact.withColumns({n: expr for n, (expr, _) in zip(names, keys)})
@@ -101,7 +106,9 @@ def align(
         *(F.col(f"`{m}`") for m in measures),
     )
     on = [F.col(n) == F.col(f"__o{i}") for i, n in enumerate(names)] + [F.col("__spread") == F.col("__zero")]
-    joined = left.join(broadcast_if_small(right, max_broadcast_rows), on, how)
+    if fits_broadcast(observed if size_bound is None else size_bound, max_broadcast_rows):
+        right = F.broadcast(right)
+    joined = left.join(right, on, how)
     return joined.select(*(F.col(f"`{c}`") for c in fact.columns), *(F.col(f"`{m}`") for m in measures))
 
 

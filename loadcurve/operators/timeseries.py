@@ -1,4 +1,4 @@
-"""Resampling, ranges, completeness, intervals and rolling statistics of keyed series."""
+"""Resampling, ranges, completeness and intervals of keyed series."""
 
 from __future__ import annotations
 
@@ -6,19 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loadcurve.functions.scalars import percent
 from loadcurve.functions.times import as_timestamp
-from loadcurve.operators.skew import MAX_SERIES_ROWS, lay_out_by_rows, lay_out_by_time
+from loadcurve.operators.skew import MAX_SERIES_ROWS, lay_out_by_rows
 from loadcurve.sources.tables import require_columns
 
-# The rolling windows (hours) and statistics of the feature set.
-DEFAULT_WINDOWS = (3, 6, 12, 24, 168)
-FEATURE_WINDOWS = (3, 6, 12, 24, 48, 168)
-ROLLING_STATS = {"mean": F.mean, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
-
-
 def resample(
     df: DataFrame, key: str = "unique_id", timestamp: str = "timestamp", value: str = "y", every: str = "1 hour"
 ) -> DataFrame:
@@ -143,52 +136,3 @@ def top_intervals(gaps: DataFrame, key: str = "unique_id", n: int = 5) -> DataFr
     counts = interval_counts(gaps, [key])
     order = Window.partitionBy(key).orderBy(F.desc("count"), F.asc("diff_seconds"))
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-
-
-def rolling_features(
-    df: DataFrame,
-    target: str = "y",
-    windows: Sequence[int] = DEFAULT_WINDOWS,
-    stats: Sequence[str] = tuple(ROLLING_STATS),
-    key: str = "unique_id",
-    timestamp: str = "timestamp",
-    tiebreak: Sequence[str] = (),
-    frame: str = "rows",
-    include_current: bool = True,
-    max_series_rows: int = MAX_SERIES_ROWS,
-) -> DataFrame:
-    """Append ``{target}_rolling_{stat}_{N}h`` for every window N and statistic.
-
-    ``frame="rows"`` takes the last N records, which are N hours only in gap-free hourly series;
-    ``"range"`` takes the records of the last N hours.  ``include_current=False`` ends the frame
-    before the record itself, so that the target does not leak into its own features.  The
-    statistic ``rows`` counts the records in the frame; unknown statistics are ignored.
-    All columns come from one window pass: one shuffle, one sort.
-    """
-    known = [s for s in stats if s in ROLLING_STATS or s == "rows"]
-    if not windows or not known or target not in df.columns:
-        return df
-    if not isinstance(df.schema[timestamp].dataType, T.TimestampType):
-        raise TypeError(f"column {timestamp!r} must be a timestamp")
-    widest = max(windows)
-    if frame == "rows":
-        layout = lay_out_by_rows(df, key, timestamp, widest - 1 if include_current else widest, max_series_rows)
-        order = Window.partitionBy(*layout.partition_by).orderBy(timestamp, *tiebreak)
-        last = 0 if include_current else -1
-        frames = {n: order.rowsBetween(last - (n - 1), last) for n in windows}
-    elif frame == "range":
-        layout = lay_out_by_time(df, key, timestamp, widest * 3600, max_series_rows)
-        order = Window.partitionBy(*layout.partition_by).orderBy(F.unix_micros(F.col(timestamp)))
-        hour = 3_600_000_000
-        frames = {
-            n: order.rangeBetween(1 - n * hour, 0) if include_current else order.rangeBetween(-n * hour, -1)
-            for n in windows
-        }
-    else:
-        raise ValueError("frame is 'rows' or 'range'")
-
-    def stat(name: str):
-        return F.count(F.lit(1)) if name == "rows" else ROLLING_STATS[name](target)
-
-    columns = {f"{target}_rolling_{s}_{n}h": stat(s).over(frames[n]) for n in windows for s in known}
-    return layout.own_rows(layout.frame.withColumns(columns))

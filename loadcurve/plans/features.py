@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loadcurve.functions.times import calendar_features
 from loadcurve.operators.filters import with_target, without_initial_window
 from loadcurve.operators.sampling import sample_rows
-from loadcurve.operators.timeseries import FEATURE_WINDOWS, ROLLING_STATS, rolling_features
+from loadcurve.operators.rolling import FEATURE_WINDOWS, ROLLING_STATS, rolling_features
 from loadcurve.sources.sinks import read_back, write_partitioned
 from loadcurve.sources.tables import read_table
 

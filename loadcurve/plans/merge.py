@@ -32,7 +32,7 @@ def merge_readings(
 ) -> DataFrame:
     """Every reading with its metadata and the weather of its location and hour."""
     with_metadata = join_metadata(as_timestamp(demand), metadata, metadata_columns)
-    return join_weather(with_metadata, unique_weather(weather, weather_order), unit=unit)
+    return join_weather(with_metadata, unique_weather(weather, weather_order), unit=unit, size_bound=weather)
 
 
 def located_ranges(demand: DataFrame, metadata: DataFrame) -> DataFrame:
