@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from loadcurve.functions.scalars import percent
 from loadcurve.functions.times import is_on_hour
 from loadcurve.operators.filters import missing_observation
-from loadcurve.operators.joins import absent_keys, compare_ranges, existing_keys
+from loadcurve.operators.joins import compare_ranges
 from loadcurve.operators.profile import duplicate_summary, missing_values
+from loadcurve.operators.timeseries import time_range
 
 
 def key_coverage(left: DataFrame, right: DataFrame, key: str = "location_id") -> DataFrame:
@@ -102,10 +103,10 @@ def unmatched_audit(
     """Distinct (location, time) keys without observation, and whether weather has them after all."""
     stamp = F.date_trunc(unit, F.col(timestamp)).alias(timestamp)
     keys = merged.filter(missing_observation(measure, key, exclude)).select(key, stamp).distinct()
-    # truncation makes a null timestamp a null key, which no observation can match
-    found = existing_keys(keys, weather, [key, timestamp]).withColumn("in_weather", F.lit(True))
-    gone = absent_keys(keys, weather, [key, timestamp]).withColumn("in_weather", F.lit(False))
-    return found.unionByName(gone)
+    present = weather.select(key, timestamp).distinct().withColumn("__seen", F.lit(True))
+    return keys.join(present, [key, timestamp], "left").select(
+        key, timestamp, F.col("__seen").isNotNull().alias("in_weather")
+    )
 
 
 def quality_report(
@@ -113,25 +114,30 @@ def quality_report(
 ) -> DataFrame:
     """(table, check, subject, value): missing counts, duplicate counts and time range ends of each table."""
 
-    def rows(table: str, check: str, df: DataFrame, subject, value) -> DataFrame:
-        return df.select(
-            F.lit(table).alias("table"),
-            F.lit(check).alias("check"),
-            subject.alias("subject"),
-            value.cast("string").alias("value"),
+    def entries(table: str, df: DataFrame, *values) -> DataFrame:
+        """One output row per (check, subject, value) of each input row."""
+        structs = (
+            F.struct(check.alias("check"), subject.alias("subject"), value.cast("string").alias("value"))
+            for check, subject, value in values
         )
+        return df.select(F.lit(table).alias("table"), F.inline(F.array(*structs)))
 
     parts = []
     for table, df in tables.items():
-        parts.append(rows(table, "missing", missing_values(df), F.col("column"), F.col("n_missing")))
+        parts.append(entries(table, missing_values(df), (F.lit("missing"), F.col("column"), F.col("n_missing"))))
         if table in keys:
             label = F.lit(",".join(keys[table]))
-            summary = duplicate_summary(df, keys[table])
-            parts.append(rows(table, "duplicate_groups", summary, label, F.col("n_groups")))
-            parts.append(rows(table, "duplicate_extra_rows", summary, label, F.col("n_extra")))
+            parts.append(
+                entries(
+                    table,
+                    duplicate_summary(df, keys[table]),
+                    (F.lit("duplicate_groups"), label, F.col("n_groups")),
+                    (F.lit("duplicate_extra_rows"), label, F.col("n_extra")),
+                )
+            )
         if times and table in times:
-            ts = times[table]
-            span = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-            parts.append(rows(table, "first", span, F.lit(ts), F.date_format("lo", "yyyy-MM-dd HH:mm:ss")))
-            parts.append(rows(table, "last", span, F.lit(ts), F.date_format("hi", "yyyy-MM-dd HH:mm:ss")))
+            subject = F.lit(times[table])
+            first, last = (F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("min_ts", "max_ts"))
+            span = time_range(df, times[table])
+            parts.append(entries(table, span, (F.lit("first"), subject, first), (F.lit("last"), subject, last)))
     return reduce(DataFrame.unionByName, parts)

@@ -99,6 +99,8 @@ def duplicate_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def negative_counts(df: DataFrame, columns: Sequence[str] = tuple(NON_NEGATIVE_MEASURES)) -> DataFrame:
     """Negative values per physically non-negative measure, one pass for all of them."""
     present = [c for c in columns if c in df.columns and isinstance(df.schema[c].dataType, T.NumericType)]
+    if not present:
+        raise ValueError("none of the measures is a numeric column")
     wide = df.agg(*(F.count_if(F.col(f"`{c}`") < 0).alias(c) for c in present))
     return wide.unpivot([], present, "column", "n_negative")
 

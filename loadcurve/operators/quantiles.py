@@ -2,7 +2,7 @@
 
 Spark's ``percentile`` gathers all distinct values of a group in memory.  Here a bounded sketch
 first brackets every requested rank; a second pass counts what lies below each bracket and ranks
-only the few values inside, about 4 in 10,000 per quantile.
+only the few values inside, at most 4 in 100,000 per quantile.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loadcurve.operators.skew import attach, fits_broadcast
 
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 100_000
 
 
 def quantile_names(probabilities: Sequence[float]) -> list[str]:

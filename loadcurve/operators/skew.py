@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadcurve.session import stored
+
 # A side is broadcast only if it has at most this many rows; see ``fits_broadcast``.
 BROADCAST_ROWS = 250_000
 # Copies made of a dimension that is too large to broadcast, and spread of null keys.
 SALTS = 16
-# A series longer than this is cut into chunks of about this many rows before windowing.
-MAX_SERIES_ROWS = 4_000_000
+# A series longer than this (a century of hourly records is 876,600) is cut into chunks of about
+# this many rows before windowing.
+MAX_SERIES_ROWS = 1_000_000
+# Long series named by literals; beyond that many they are joined.
+LISTED_KEYS = 1_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -128,9 +133,21 @@ class SeriesLayout:
         return computed.filter(~F.col("__halo")).drop("__chunk", "__halo") if self.cut else computed
 
 
-def _long_series(df: DataFrame, key: str, max_rows: int) -> DataFrame:
-    """Keys with more than ``max_rows`` rows; at most total / max_rows of them exist."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > max_rows).select(key)
+def _mark_long_series(df: DataFrame, key: str, timestamp: str, max_rows: int) -> DataFrame | None:
+    """Flag rows of series longer than ``max_rows`` as ``__long``; None if there is no such series.
+
+    At most total / max_rows keys are long.  Up to ``LISTED_KEYS`` of them are fetched and tested as
+    literals, more are joined.
+    """
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > max_rows).select(key)
+    found = [row[0] for row in counted.limit(LISTED_KEYS + 1).collect()]
+    if not found:
+        return None
+    if len(found) > LISTED_KEYS:
+        flagged = attach(df, counted.withColumn("__long", F.lit(True)), [key], spread_by=[timestamp], null_safe=True)
+        return flagged.withColumn("__long", F.coalesce("__long", F.lit(False)))
+    listed = F.coalesce(F.col(key).isin([k for k in found if k is not None]), F.lit(False))
+    return df.withColumn("__long", listed | F.col(key).isNull() if None in found else listed)
 
 
 def lay_out_by_rows(
@@ -149,22 +166,13 @@ def lay_out_by_rows(
     starts within ``preceding_rows`` rows of the bucket's end.  All rows of a bucket (hence all
     rows with equal timestamps) stay together, so results equal those of the uncut series.
     """
-    long_keys = _long_series(df, key, max_series_rows)
-    if long_keys.isEmpty():
+    marked = _mark_long_series(df, key, timestamp, max_series_rows)
+    if marked is None:
         return SeriesLayout(df, [key], cut=False)
-
-    from pyspark.sql import Window
-
     size = max(max_series_rows, preceding_rows, 1)
     bucket = F.floor(F.unix_seconds(F.col(timestamp)) / F.lit(bucket_seconds))
-    keyed = df.withColumn("__bucket", bucket)
-    hot = broadcast_if_small(long_keys.withColumnRenamed(key, "__key"))
-    counts = (
-        keyed.select(key, "__bucket")
-        .join(hot, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-        .groupBy(key, "__bucket")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-    )
+    keyed = marked.withColumn("__bucket", F.when(F.col("__long"), bucket))
+    counts = keyed.filter("__long").groupBy(key, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
     in_order = Window.partitionBy(key).orderBy("__bucket")
     before = F.coalesce(F.sum("__rows").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     after = F.col("__before") + F.col("__rows")
@@ -182,6 +190,8 @@ def lay_out_by_rows(
             .alias("__later"),
         )
     )
+    # used for its size and for the join, hence stored once
+    plan = stored(plan)
     placed = attach(keyed, plan, [key, "__bucket"], spread_by=[timestamp], null_safe=True)
     own = F.coalesce(F.col("__own"), F.lit(0))
     targets = F.concat(F.array(own), F.coalesce(F.col("__later"), F.array().cast("array<bigint>")))
@@ -206,14 +216,12 @@ def lay_out_by_time(
     Chunks of long series are fixed time slices no shorter than the reach, so a row is needed in
     its own slice and at most in the next one.
     """
-    long_keys = _long_series(df, key, max_series_rows)
-    if long_keys.isEmpty():
+    marked = _mark_long_series(df, key, timestamp, max_series_rows)
+    if marked is None:
         return SeriesLayout(df, [key], cut=False)
     width = max(chunk_seconds or 8 * preceding_seconds, preceding_seconds, 1)
-    hot = long_keys.withColumn("__hot", F.lit(True))
-    marked = attach(df, hot, [key], spread_by=[timestamp], null_safe=True)
     seconds = F.unix_seconds(F.col(timestamp))
-    own = F.when(F.col("__hot"), F.floor(seconds / F.lit(width)))
+    own = F.when(F.col("__long"), F.floor(seconds / F.lit(width)))
     reaches_next = (own + 1) * F.lit(width) - seconds <= F.lit(preceding_seconds)
     targets = (
         F.when(own.isNull(), F.array(F.lit(0).cast("long")))

@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from loadcurve.functions.times import as_timestamp
 from loadcurve.operators.diagnostics import join_success, key_coverage, range_alignment
 from loadcurve.operators.joins import METADATA_COLUMNS, join_metadata, join_weather
-from loadcurve.operators.timeseries import deduplicate, deduplicate_ordered
+from loadcurve.operators.timeseries import deduplicate_ordered
 from loadcurve.sources.sinks import read_back, write_table
 from loadcurve.sources.tables import load_tables
 
 
 def unique_weather(weather: DataFrame, order_by: Sequence | None = None) -> DataFrame:
-    """One weather row per location and time; with ``order_by`` the survivor is determined."""
+    """One weather row per location and time, the first in the given order.
+
+    Without an order the remaining columns decide, so that a recomputed task keeps the same row.
+    """
     keys = ["location_id", "timestamp"]
-    weather = as_timestamp(weather)
-    return deduplicate_ordered(weather, keys, order_by) if order_by else deduplicate(weather, keys)
+    order = list(order_by or [c for c in weather.columns if c not in keys])
+    return deduplicate_ordered(as_timestamp(weather), keys, order or keys)
 
 
 def merge_readings(

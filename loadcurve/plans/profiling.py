@@ -13,15 +13,15 @@ from loadcurve.operators.diagnostics import quality_report
 from loadcurve.operators.filters import in_top_categories
 from loadcurve.operators.joins import join_metadata
 from loadcurve.operators.profile import (
-    boxplot_stats, describe, histogram, missing_location_breakdown, negative_counts, target_counts, value_shares,
+    NON_NEGATIVE_MEASURES, boxplot_stats, describe, histogram, missing_location_breakdown, negative_counts,
+    target_counts, value_shares,
 )
 from loadcurve.operators.projections import numeric_columns
 from loadcurve.operators.timeseries import (
-    average_by_all_parts, dominant_interval, intervals, multiple_intervals, top_intervals,
+    average_by_all_parts, dominant_interval, interval_counts, intervals, multiple_intervals, top_intervals,
 )
 from loadcurve.operators.topk import top_categories, top_k, top_n_and_other
 from loadcurve.sources.tables import WEATHER_CODES, WEATHER_MEASURES, table_profile
-from loadcurve.operators.timeseries import interval_counts
 
 METADATA_CATEGORIES = ("dataset", "location", "timezone", "freq", "building_class")
 METADATA_NUMBERS = ("latitude", "longitude", "cluster_size")
@@ -61,12 +61,13 @@ def profile_weather(weather: DataFrame, measures: Sequence[str] = tuple(WEATHER_
     matrix = correlation_matrix(weather, [c for c in MATRIX_MEASURES if c in numbers])
     report = {
         "stats": describe(weather, numbers, exact=False),
-        "negatives": negative_counts(weather),
         "correlation": matrix,
         "strong_pairs": strong_pairs(matrix),
         "dominant_interval": dominant_interval(gaps),
         "series_intervals": top_intervals(gaps, "location_id"),
     }
+    if set(NON_NEGATIVE_MEASURES) & set(numbers):
+        report["negatives"] = negative_counts(weather)
     report.update({f"top_{c}": top_n_and_other(weather, c, 20) for c in WEATHER_CODES if c in weather.columns})
     return report
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
@@ -39,3 +39,9 @@ def use_shared_checkpoints(spark: SparkSession) -> None:
     """Point reliable checkpoints (used by iterative MLlib fits) at the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Compute a small intermediate once and read it from the shared folder from then on."""
+    use_shared_checkpoints(df.sparkSession)
+    return df.checkpoint()

@@ -136,3 +136,12 @@ def test_one_shuffle_one_sort(frame):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Sort [") == 1
+
+
+@pytest.mark.parametrize("listed", [0, 1000])
+def test_long_keys_by_literal_or_by_join(frame, monkeypatch, listed):
+    monkeypatch.setattr("loadcurve.operators.skew.LISTED_KEYS", listed)
+    df = frame(series(6), READING)
+    for kind in ("rows", "range"):
+        options = dict(windows=(3, 24), frame=kind)
+        same(rolling.rolling_features(df, max_series_rows=12, **options), rolling.rolling_features(df, **options))
