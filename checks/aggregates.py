@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import DAILY_MEASURES, Tables
 from checks.registry import check, rounded
+from loadcurve.functions.scalars import as_interval
 from loadcurve.operators import profile, sampling, timeseries, topk
 
 HOURLY_SQL = """SELECT unique_id, date_trunc('hour', "timestamp") AS "timestamp", round(sum(y), 5) AS y
@@ -40,9 +41,30 @@ def _(t: Tables):
     return rounded(profile.describe(t.readings, ["y"]), 4)
 
 
-@check("a02_target_stats_sketched")
+def rank_sql(source: str, column: str) -> str:
+    shares = ", ".join(
+        f"round(count(*) FILTER (v <= q[{i + 1}]) / CAST(count(v) AS DOUBLE), 2) AS share_{name}"
+        for i, name in enumerate(("q25", "q50", "q75"))
+    )
+    return f"""SELECT '{column}' AS "column", count(v) AS count, round(avg(v), 4) AS mean, {shares}
+        FROM (SELECT CAST({column} AS DOUBLE) AS v, (SELECT quantile_disc(CAST({column} AS DOUBLE), [0.25, 0.5, 0.75]) FROM {source}) AS q
+              FROM {source})"""
+
+
+def _ranks_of_sketch(df, columns):
+    """How much of the data lies up to each sketch quantile, which the sketch promises within its error."""
+    stats = profile.describe(df, columns, exact=False).withColumnRenamed("column", "of")
+    long = profile.to_long(df, columns)
+    found = long.join(F.broadcast(stats), F.col("column") == F.col("of")).groupBy("column", "count", "mean")
+    shares = (
+        (F.count_if(F.col("value") <= F.col(q)) / F.count("value")).alias(f"share_{q}") for q in ("q25", "q50", "q75")
+    )
+    return rounded(rounded(found.agg(*shares), 4, "mean"), 2, "share_q25", "share_q50", "share_q75")
+
+
+@check("a02_target_stats_sketched", rank_sql("readings", "y"))
 def _(t: Tables):
-    return rounded(profile.describe(t.readings, ["y"], exact=False), 4)
+    return _ranks_of_sketch(t.readings, ["y"])
 
 
 @check("a03_weather_stats", " UNION ALL ".join(stats_sql("daily_raw", c, c) for c in DAILY_MEASURES))
@@ -50,9 +72,9 @@ def _(t: Tables):
     return rounded(profile.describe(t.daily_raw, DAILY_MEASURES), 4)
 
 
-@check("a03_weather_stats_sketched")
+@check("a03_weather_stats_sketched", " UNION ALL ".join(rank_sql("daily_raw", c) for c in DAILY_MEASURES))
 def _(t: Tables):
-    return rounded(profile.describe(t.daily_raw, DAILY_MEASURES, exact=False), 4)
+    return _ranks_of_sketch(t.daily_raw, DAILY_MEASURES)
 
 
 @check("a04_metadata_stats", stats_sql("metadata", "cluster_size", "cluster_size"))
@@ -271,6 +293,16 @@ def _(t: Tables):
     return topk.top_k(timeseries.interval_counts(gaps), 10, "count", ["diff_seconds"])
 
 
+@check(
+    "e10_readable_intervals",
+    GAPS + """SELECT DISTINCT diff_seconds, printf('INTERVAL ''%d %02d:%02d:%02d'' DAY TO SECOND', diff_seconds // 86400,
+                diff_seconds // 3600 % 24, diff_seconds // 60 % 60, diff_seconds % 60) AS shown FROM gaps""",
+)
+def _(t: Tables):
+    counts = timeseries.interval_counts(timeseries.intervals(t.readings))
+    return counts.select("diff_seconds", as_interval(F.col("diff_seconds")).cast("string").alias("shown"))
+
+
 @check(
     "a20_dominant_interval",
     GAPS + """SELECT diff_seconds, diff_seconds = 86400 AS is_expected FROM daily_gaps GROUP BY 1

@@ -171,6 +171,32 @@ def _(t: Tables):
     return rounded(regression.evaluate(scored, ["flat", "by_quantity"]), 3)
 
 
+# One tree of depth one on a 0/1 feature predicts the class means of the training part.
+STUMP = """, r AS (SELECT l_shipdate, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS x, l_extendedprice AS y FROM lineitem),
+    b AS (SELECT epoch_us(min(l_shipdate)) AS lo, epoch_us(max(l_shipdate)) AS hi FROM r),
+    p AS (SELECT make_timestamp(CAST(lo + round((hi - lo) * 0.8) AS BIGINT)) AS cut FROM b),
+    m AS (SELECT x, avg(y) AS prediction FROM r, p WHERE l_shipdate < p.cut GROUP BY x),
+    s AS (SELECT r.x, r.y, m.prediction FROM r JOIN m ON r.x = m.x, p WHERE l_shipdate >= p.cut) """
+
+
+def binary_lines(t: Tables):
+    from loadcurve.functions.times import as_timestamp
+
+    x = F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0)
+    lines = t.raw("lineitem").select(F.col("l_shipdate").alias("timestamp"), x.alias("x"), F.col("l_extendedprice").alias("y"))
+    return as_timestamp(lines)
+
+
+@check("x07_boosted_stump", STUMP + "SELECT CAST(x AS DOUBLE) AS x, count(*) AS n, round(avg(prediction), 3) AS prediction FROM s GROUP BY x")
+def _(t: Tables):
+    from pyspark.ml.functions import vector_to_array
+
+    train, test = regression.split_by_time(regression.assemble(binary_lines(t), ["x"]))
+    scored = regression.score(regression.fit_boosted_trees(train, max_iter=1, max_depth=1), test)
+    by_class = scored.groupBy(vector_to_array("features")[0].alias("x"))
+    return rounded(by_class.agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("prediction")), 3, "prediction")
+
+
 @check("x07_boosted_trees")
 def _(t: Tables):
     train, test = regression.split_by_time(regression.assemble(t.merged.dropna(subset=["y"]), X_FEATURES))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.aggregates import HOURLY_SQL, completeness_sql
+from checks.aggregates import HOURLY_SQL, completeness_sql, other_sql
 from checks.fixtures import DAILY_TIES, Tables
 from checks.joins import LOST
 from checks.registry import check, rounded
+from checks.statistics import STUMP, binary_lines
 from checks.windows import last_rows, rolling_sql
 from loadcurve.operators import rolling, timeseries
 from loadcurve.operators.joins import join_metadata
@@ -86,9 +87,29 @@ def _(t: Tables):
     return rounded(training.train_and_evaluate(read_back(t.spark, path), max_iter=3, max_depth=3).metrics, 4)
 
 
-@check("q4_profile_of_demand")
+@check(
+    "q3_metrics_on_binary_feature",
+    STUMP + """SELECT unnest(['linear', 'boosted']) AS prediction, n, rmse, mae FROM (
+        SELECT count(*) AS n, round(sqrt(avg(power(prediction - y, 2))), 3) AS rmse, round(avg(abs(prediction - y)), 3) AS mae FROM s)""",
+)
+def _(t: Tables):
+    # with a 0/1 feature both models predict the class means
+    return rounded(training.train_and_evaluate(binary_lines(t), ["x"], max_iter=1, max_depth=1).metrics, 3)
+
+
+@check(
+    "q4_demand_counts",
+    """, c AS (SELECT count(*) AS n_rows, count(y) AS n_valid, count(*) FILTER (y IS NULL) AS n_null,
+                      count(*) FILTER (y <= 0) AS n_non_positive FROM readings)
+       SELECT *, round(100.0 * n_null / n_rows, 4) AS null_pct, round(100.0 * n_non_positive / n_valid, 4) AS non_positive_pct FROM c""",
+)
+def _(t: Tables):
+    return rounded(profiling.profile_demand(t.readings)["counts"], 4)
+
+
+@check("q4_top_locations", other_sql("metadata", "location", 15))
 def _(t: Tables):
-    return rounded(profiling.profile_demand(t.readings)["stats"], 4)
+    return profiling.profile_metadata(t.metadata)["top_location"]
 
 
 @check(

@@ -25,9 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = f"{tempfile.gettempdir()}/loadcurve-shared"
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return f"{tempfile.gettempdir()}/loadcurve-shared"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
