@@ -8,6 +8,7 @@ from checks.fixtures import DAILY_MEASURES, Tables
 from checks.registry import check, rounded
 from loadcurve.operators import correlation, regression
 from loadcurve.session import scratch_path
+from loadcurve.sources.sinks import read_back, write_table
 
 MATRIX = " UNION ALL ".join(
     f"""SELECT {i} AS i, {j} AS j, '{a}' AS column_i, '{b}' AS column_j, round(corr({a}, {b}), 6) AS r FROM daily_raw"""
@@ -197,15 +198,22 @@ def _(t: Tables):
     return rounded(by_class.agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("prediction")), 3, "prediction")
 
 
+def _stored_training_rows(t: Tables):
+    # tree training passes over its rows many times, so they are read from storage
+    path = scratch_path(t.spark, "training")
+    write_table(t.merged.dropna(subset=["y"]), path, inputs=[t.dir])
+    return regression.split_by_time(regression.assemble(read_back(t.spark, path), X_FEATURES))
+
+
 @check("x07_boosted_trees")
 def _(t: Tables):
-    train, test = regression.split_by_time(regression.assemble(t.merged.dropna(subset=["y"]), X_FEATURES))
+    train, test = _stored_training_rows(t)
     model = regression.fit_boosted_trees(train, max_iter=3, max_depth=3)
     return rounded(regression.evaluate(regression.score(model, test)), 4)
 
 
 @check("x10_feature_importance")
 def _(t: Tables):
-    train, _ = regression.split_by_time(regression.assemble(t.merged.dropna(subset=["y"]), X_FEATURES))
+    train, _ = _stored_training_rows(t)
     model = regression.fit_boosted_trees(train, max_iter=3, max_depth=3)
-    return rounded(regression.feature_importance(model, X_FEATURES, t.merged), 6)
+    return rounded(regression.feature_importance(model, X_FEATURES, train), 6)
