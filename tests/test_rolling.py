@@ -55,7 +55,7 @@ def direct(df, windows, include_current=True):
     return rolling._direct_frames(df, frames, "y", [*STATS, "rows"])
 
 
-@pytest.mark.parametrize("windows", [(3, 6, 12, 24, 48, 168), (7,), (1, 2, 100)])
+@pytest.mark.parametrize("windows", [(3, 6, 12, 24, 48, 168), (1, 7, 100)])
 @pytest.mark.parametrize("include_current", [True, False])
 def test_composed_frames_equal_direct_ones(frame, windows, include_current):
     df = frame(series(1), READING)
@@ -63,7 +63,7 @@ def test_composed_frames_equal_direct_ones(frame, windows, include_current):
     same(composed, direct(df, windows, include_current))
 
 
-@pytest.mark.parametrize("max_rows", [1, 10, 30, 200])
+@pytest.mark.parametrize("max_rows", [1, 10, 60])
 @pytest.mark.parametrize("include_current", [True, False])
 def test_split_series_give_the_same_features(frame, max_rows, include_current):
     df = frame(series(2), READING)
@@ -71,12 +71,11 @@ def test_split_series_give_the_same_features(frame, max_rows, include_current):
     same(rolling.rolling_features(df, max_series_rows=max_rows, **options), rolling.rolling_features(df, **options))
 
 
-@pytest.mark.parametrize("max_rows", [1, 20])
 @pytest.mark.parametrize("include_current", [True, False])
-def test_split_series_give_the_same_hour_ranges(frame, max_rows, include_current):
+def test_split_series_give_the_same_hour_ranges(frame, include_current):
     df = frame(series(3), READING)
     options = dict(windows=(3, 24), frame="range", include_current=include_current)
-    same(rolling.rolling_features(df, max_series_rows=max_rows, **options), rolling.rolling_features(df, **options))
+    same(rolling.rolling_features(df, max_series_rows=20, **options), rolling.rolling_features(df, **options))
 
 
 def test_bursts_larger_than_a_chunk_stay_correct(frame):
