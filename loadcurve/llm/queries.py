@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loadcurve.llm.columns import table
+from loadcurve.llm.html_regions import extract_main_text
+from loadcurve.llm.prefix_counts import token_counts
 from loadcurve.llm.simhash import near_duplicate_components
+from loadcurve.llm.url_rules import judge_urls
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -26,3 +30,42 @@ def query(name: str, sql: str | None = None):
 @query("op1_simhash_near_duplicates")
 def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_url_rules",
+    """
+    WITH rules(rule_host, rule_path, action) AS (VALUES
+        ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+        ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+    rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r, row_number() OVER () AS n
+             FROM pages),
+    parts AS (SELECT page_id, n, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    fits AS (SELECT n, rule_host || rule_path AS rule, action,
+                    row_number() OVER (PARTITION BY n ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS k
+             FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+    SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
+    FROM parts LEFT JOIN fits ON parts.n = fits.n AND k = 1
+    """,
+)
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The rules that the query is asked for.
+    rules = [
+        ("org", "/", "allow"),
+        ("example.org", "/es/", "block"),
+        ("example.org", "/en/1", "block"),
+        ("com", "/fr/", "allow"),
+        ("com", "/de/", "block"),
+    ]
+    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(rules, "host string, path string, action string"))
+
+
+@query("op6_prefix_token_counts")
+def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_main_text")
+def _main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
