@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loadcurve.llm.bucket_digest import edited_fingerprints
 from loadcurve.llm.columns import table
+from loadcurve.llm.decision_list import quality_verdicts
 from loadcurve.llm.html_regions import extract_main_text
+from loadcurve.llm.packing import packed_sequences
 from loadcurve.llm.prefix_counts import token_counts
 from loadcurve.llm.simhash import near_duplicate_components
+from loadcurve.llm.suffix_repeats import repeat_report
 from loadcurve.llm.url_rules import judge_urls
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +73,23 @@ def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_main_text")
 def _main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op3_quality_rules")
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_bucket_digests")
+def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op9_best_fit_packing")
+def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_suffix_repeats")
+def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
