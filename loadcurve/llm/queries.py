@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from loadcurve.llm.bucket_digest import edited_fingerprints
 from loadcurve.llm.columns import table
 from loadcurve.llm.decision_list import quality_verdicts
+from loadcurve.llm.folded_bpe import round_trip_report
 from loadcurve.llm.html_regions import extract_main_text
 from loadcurve.llm.packing import packed_sequences
 from loadcurve.llm.prefix_counts import token_counts
 from loadcurve.llm.simhash import near_duplicate_components
 from loadcurve.llm.suffix_repeats import repeat_report
+from loadcurve.llm.toxicity import toxicity_verdicts
 from loadcurve.llm.url_rules import judge_urls
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +95,13 @@ def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_suffix_repeats")
 def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_folded_bpe")
+def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op8_toxicity")
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
