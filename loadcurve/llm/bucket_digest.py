@@ -102,7 +102,7 @@ def _in_ranges(source: DataFrame, ranges: int) -> DataFrame:
     cuts = source.select(F.col("doc_id").cast("double").alias("k")).approxQuantile(
         "k", [i / ranges for i in range(1, ranges)], 0.25 / ranges
     )
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    splits = [-math.inf, *(sorted(set(cuts)) or [0.0]), math.inf]
     bucketed = Bucketizer(splits=splits, inputCol="__key", outputCol="__part").transform(keyed)
     bucketed = bucketed.withColumn("part", F.col("__part").cast("int")).select("doc_id", "text", "part")
     heads = sorted(bucketed.groupBy("part").agg(F.max("doc_id").alias("head")).collect(), reverse=True)  # one row per range

@@ -243,22 +243,24 @@ def union_of_windows(doc: np.ndarray, begin: np.ndarray, length: int) -> tuple[n
     return doc[cut], begin[cut], begin[last] + length
 
 
-def _with_leads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, lead): lead is false if a smaller id has the same text.
+def _with_leads(docs: DataFrame, id_col: str, text_col: str, row: bool = False) -> DataFrame:
+    """(doc_id, text, lead): lead is false if a smaller id has the same text; with ``row`` the whole row too.
 
     Only ids and digests are shuffled to find copies; texts are shuffled once, by id, and every later
     step joins on the same key.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    source = picked(docs, doc_id=id_col, text=text_col)
-    source = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if row else []
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *whole)
+    rest = ["row"] if row else []
+    source = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), *rest)
     marks = source.select("doc_id", F.sha2("text", 256).alias("digest"))
     first = marks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     copies = marks.join(first.filter("first < last"), "digest").filter("doc_id > first")
     copied = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))  # one, unless rows share an id
     joined = source.join(copied, "doc_id", "left")
     lead = F.col("copied").isNull() | ~F.array_contains("copied", F.sha2("text", 256))
-    return joined.select("doc_id", "text", F.coalesce(lead, F.lit(True)).alias("lead"))
+    return joined.select("doc_id", "text", F.coalesce(lead, F.lit(True)).alias("lead"), *rest)
 
 
 def removed_spans(leads: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, pieces: int | None = None) -> DataFrame:
@@ -380,6 +382,38 @@ def without_repeats(
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def texts_without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options
+) -> DataFrame:
+    """``docs`` with repeated passages cut out of the text; columns unchanged, no row is dropped.
+
+    A character of which a cut takes some bytes goes as a whole.  A column named ``chars_col``, if
+    there is one, is set to the new number of characters; null texts stay null.
+    """
+    spans = removed_spans(_with_leads(docs, id_col, text_col), **options)
+    length = options.get("length", LENGTH)
+    rows = _with_leads(docs, id_col, text_col, row=True).join(spans, "doc_id", "left").select("lead", "spans", "text", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for lead, spans, text in zip(*(batch.column(k) for k in range(3))):
+                data, cuts = text.as_py().encode(), []
+                if not lead.as_py():
+                    cuts = [(0, len(data))] if len(data) >= length else []
+                elif spans.is_valid:
+                    cuts = [(s["start"], min(s["stop"], len(data))) for s in spans.as_py() if s["start"] < len(data)]
+                texts.append(_kept(data, cuts)[0].decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(3)], ["kept", "row"])
+
+    cut = rows.mapInArrow(run, f"kept string, row {rows.schema['row'].dataType.simpleString()}")
+    new = {text_col: F.when(F.col("row").getField(text_col).isNotNull(), F.col("kept"))}
+    if chars_col in docs.columns:
+        kind = docs.schema[chars_col].dataType
+        new[chars_col] = F.coalesce(F.length(new[text_col]).cast(kind), F.col("row").getField(chars_col))
+    return cut.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     kept = without_repeats(docs, id_col, text_col, **options)
