@@ -99,9 +99,8 @@ def _in_ranges(source: DataFrame, ranges: int) -> DataFrame:
     copied to the range before it (the range of the highest ids comes first, after the last again)."""
     key = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
     keyed = source.withColumn("__key", key)
-    cuts = source.select(F.col("doc_id").cast("double").alias("k")).approxQuantile(
-        "k", [i / ranges for i in range(1, ranges)], 0.25 / ranges
-    )
+    numbers = source.select(F.col("doc_id").cast("double").alias("k"))
+    cuts = numbers.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
     splits = [-math.inf, *(sorted(set(cuts)) or [0.0]), math.inf]
     bucketed = Bucketizer(splits=splits, inputCol="__key", outputCol="__part").transform(keyed)
     bucketed = bucketed.withColumn("part", F.col("__part").cast("int")).select("doc_id", "text", "part")
