@@ -1,6 +1,11 @@
-"""Byte-level BPE in Spark expressions: ranked merges folded over the bytes of distinct words.
+"""Byte-level BPE: ranked merges folded over the bytes of distinct words; decoding concatenates pieces.
 
-Texts are cut into words by the vocabulary's pattern, in tasks that number each word when they first
+There are two forms with equal results.  The form in Spark expressions folds with higher-order
+functions over a literal rank map; it costs more processor time and memory than the limits of this
+repository's check allow (see README), so the default folds the same merges inside the tasks, once per
+distinct word and worker.
+
+In the expression form texts are cut into words by the vocabulary's pattern, in tasks that number each word when they first
 meet it.  The words that are new to a task are encoded by higher-order functions: a fold over the
 word's bytes merges, in every turn, the adjacent pair of lowest rank, looked up in a literal map.  The
 map is a literal array of small maps, picked by CRC-32, because Spark searches a map from its first key
@@ -27,11 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadcurve.llm.columns import picked, type_of
-from loadcurve.llm.prefix_counts import CHUNK, WORD
+from loadcurve.llm.prefix_counts import CHUNK, WORD, Remembered
 
 MAPS = 1 << 15
 # Words numbered by a task before it starts anew.
 NUMBERED = 500_000
+# Words, and chunks of words, remembered by a worker that folds in Python.
+FOLDED = 300_000
+NO_RANK = 1 << 60
 LATIN = "ISO-8859-1"
 
 
@@ -161,28 +169,88 @@ def encoded_words(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text
     return cut.select("doc_id", "words", F.transform("fresh", code).alias("coded"), "anew")
 
 
-def _assembled(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple[pa.Array, list]]:
-    table: list = []
-    for batch in batches:
-        out = []
-        for words, coded, anew in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if anew:
-                table.clear()
-            for c in coded:
-                table.append((len(c["ids"]), ",".join(map(str, c["ids"])), c["bytes"]))
-            out.append(make([table[w] for w in words.values.to_numpy().tolist()]))
-        yield batch.column(0), out
+class WordFolder:
+    """Ids of words by the same fold, in plain Python, with distinct words and chunks remembered."""
+
+    def __init__(self, path: str):
+        self.ranks = load_ranks(path)
+        self.pieces = {rank: token for token, rank in self.ranks.items()}
+        self.words = Remembered(self.fold, FOLDED)
+        self.chunks = Remembered(self._chunk, FOLDED)
+
+    def fold(self, word: str) -> tuple[int, ...]:
+        data, ranks = word.encode(), self.ranks
+        if data in ranks:
+            return (ranks[data],)
+        parts = [data[i : i + 1] for i in range(len(data))]
+        found = [ranks.get(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]
+        while found:
+            lowest = min(found)
+            if lowest == NO_RANK:
+                break
+            i = found.index(lowest)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = ranks.get(parts[i - 1] + parts[i], NO_RANK)
+            if i < len(found):
+                found[i] = ranks.get(parts[i] + parts[i + 1], NO_RANK)
+        return tuple(ranks[p] for p in parts)
+
+    def _chunk(self, chunk: str) -> tuple[int, str, bytes]:
+        """(number of ids, ids, bytes that the ids decode to)."""
+        ids = [i for word in WORD.findall(chunk) for i in self.words[word]]
+        return len(ids), ",".join(map(str, ids)), b"".join(map(self.pieces.__getitem__, ids))
+
+    def coded(self, text: str | None) -> list[tuple[int, str, bytes]]:
+        return list(map(self.chunks.__getitem__, CHUNK.findall(text or "")))
+
 
+@lru_cache(maxsize=2)
+def folder(path: str) -> WordFolder:
+    return WordFolder(path)
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of whole texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, rows in _assembled(batches, lambda words: [int(i) for w in words for i in w[1].split(",")]):
-            yield pa.RecordBatch.from_arrays([keys, pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
+def _made(docs: DataFrame, ranks_path: str, id_col: str, text_col: str, native: bool, make, names: list[str], types: list[str]) -> DataFrame:
+    """``make`` turns the (count, ids, bytes) parts of one text into the columns after doc_id."""
+
+    def batch_of(keys: pa.Array, rows: list, schema: pa.Schema) -> pa.RecordBatch:
+        values = list(zip(*rows)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([keys, *(pa.array(v, t) for v, t in zip(values, schema))], ["doc_id", *names])
+
+    def kinds() -> list[pa.DataType]:
+        known = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+        return [known[t] for t in types]
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = folder(ranks_path).coded
+        for batch in batches:
+            yield batch_of(batch.column(0), [make(coded(t.as_py())) for t in batch.column(1)], kinds())
 
-    words = encoded_words(docs, ranks_path, id_col, text_col)
-    return words.mapInArrow(run, f"doc_id {type_of(words, 'doc_id')}, ids array<int>")
+    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: list[tuple[int, str, bytes]] = []
+        for batch in batches:
+            rows = []
+            for words, coded, anew in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if anew:
+                    table.clear()
+                for c in coded:
+                    table.append((len(c["ids"]), ",".join(map(str, c["ids"])), c["bytes"]))
+                rows.append(make([table[w] for w in words.values.to_numpy().tolist()]))
+            yield batch_of(batch.column(0), rows, kinds())
+
+    source = encoded_words(docs, ranks_path, id_col, text_col) if native else picked(docs, doc_id=id_col, text=text_col)
+    columns = ", ".join(f"{n} {t}" for n, t in zip(names, types))
+    return source.mapInArrow(assembled if native else folded, f"doc_id {type_of(source, 'doc_id')}, {columns}")
+
+
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", native: bool = False) -> DataFrame:
+    """(doc_id, ids) of whole texts; ``native`` folds in Spark expressions."""
+
+    def ids(parts: list) -> tuple[list[int]]:
+        return ([int(i) for p in parts for i in p[1].split(",")],)
+
+    return _made(docs, ranks_path, id_col, text_col, native, ids, ["ids"], ["array<int>"])
 
 
 def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids", to: str = "bytes") -> DataFrame:
@@ -190,19 +258,14 @@ def decode(coded: DataFrame, ranks_path: str, ids_col: str = "ids", to: str = "b
     return coded.withColumn(to, decoded(F.col(f"`{ids_col}`"), token_pieces(load_ranks(ranks_path))))
 
 
-def round_trip_report(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip_report(
+    docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", native: bool = False
+) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-    def report(words: list) -> tuple[int, str, str]:
-        ids = ",".join([w[1] for w in words])
-        back = b"".join([w[2] for w in words])
-        return sum(w[0] for w in words), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, rows in _assembled(batches, report):
-            n, ids, back = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names)
+    def report(parts: list) -> tuple[int, str, str]:
+        ids = hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest()
+        return sum(p[0] for p in parts), ids, hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest()
 
-    words = encoded_words(docs, ranks_path, id_col, text_col)
-    return words.mapInArrow(run, f"doc_id {type_of(words, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names, types = ["n_tokens", "ids_sha256", "decoded_sha256"], ["long", "string", "string"]
+    return _made(docs, ranks_path, id_col, text_col, native, report, names, types)

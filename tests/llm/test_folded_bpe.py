@@ -25,9 +25,10 @@ def test_ids_and_bytes(spark):
     rows = [(i, t, 3, "x") for i, t in enumerate(texts)] + [(None, None, 0, ""), (0, "again", 1, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, words int, ids string")
     lib = library()
-    coded = encode(docs, PATH)
-    got = sorted(map(tuple, coded.collect()), key=repr)
-    assert got == sorted([(r[0], lib.encode_ordinary(r[1] or "")) for r in rows], key=repr)
+    for native in (True, False):
+        coded = encode(docs, PATH, native=native)
+        got = sorted(map(tuple, coded.collect()), key=repr)
+        assert got == sorted([(r[0], lib.encode_ordinary(r[1] or "")) for r in rows], key=repr)
     back = sorted([(r.doc_id, bytes(r.bytes)) for r in decode(coded, PATH).collect()], key=repr)
     assert back == sorted([(r[0], (r[1] or "").encode()) for r in rows], key=repr)
 
@@ -41,5 +42,6 @@ def test_report_and_empty_table(spark):
     for d, t in ((1, "some text"), (2, "")):
         ids = library().encode_ordinary(t)
         want.append((d, len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode())))
-    assert sorted(map(tuple, round_trip_report(docs, PATH).collect())) == want
-    assert round_trip_report(docs.limit(0), PATH).count() == 0
+    for native in (True, False):
+        assert sorted(map(tuple, round_trip_report(docs, PATH, native=native).collect())) == want
+        assert round_trip_report(docs.limit(0), PATH, native=native).count() == 0
