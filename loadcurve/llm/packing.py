@@ -13,6 +13,7 @@ packed each for itself; an empty table gives an empty packing.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -22,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -31,8 +33,10 @@ from loadcurve.session import stored
 
 PART_ROWS = 50_000
 ROUNDS = 6
-# Chunks remembered per worker; when full, the memory starts anew.
-REMEMBERED = 400_000
+# Chunks, and words, remembered per worker; when full, the memory starts anew.
+REMEMBERED = 1_000_000
+# The vocabulary's split pattern, for chunks without white space.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Texts whose characters are all in these ranges are cut at white space before they are encoded;
 # lower-casing and composing them works character by character.
 SIMPLE = re.compile("[^\t-\r -įı-ɏ‐-‧‰-⁞]")
@@ -42,28 +46,43 @@ class ChunkEncoder:
     """Ids of whole texts by a vocabulary file that drops white space, as little-endian bytes.
 
     The split pattern never crosses white space, so a text's ids are those of its chunks one after
-    another; each chunk is encoded by the library once and remembered.
+    another, and a chunk's those of its words; each word is encoded by the library once and both are
+    remembered.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work already
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
+    def _learn(self, chunks: list[str]) -> None:
+        split = {c: WORDS.findall(c) for c in chunks}
+        missing = list({w for words in split.values() for w in words}.difference(self.words))
+        if len(self.words) + len(missing) > self.most:
+            self.words = {}
+            missing = list({w for words in split.values() for w in words})
+        if missing:
+            self.words.update(zip(missing, self._library(missing)))
+        words = self.words
+        self.chunks.update((c, b"".join([words[w] for w in split[c]])) for c in chunks)
+
     def encode(self, text: str) -> bytes:
         if SIMPLE.search(text) or self.special.search(text):
             return self._library([text])[0]
         chunks = unicodedata.normalize("NFC", text).lower().split()
-        missing = list(set(chunks).difference(self.known))
+        missing = list(set(chunks).difference(self.chunks))
         if missing:
-            if len(self.known) + len(missing) > self.most:
-                self.known = {}
+            if len(self.chunks) + len(missing) > self.most:
+                self.chunks = {}
                 missing = list(set(chunks))
-            self.known.update(zip(missing, self._library(missing)))
-        return b"".join(map(self.known.__getitem__, chunks))
+            self._learn(missing)
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
 
 @lru_cache(maxsize=2)
