@@ -64,7 +64,7 @@ def demand_weather_correlation(
     metadata: DataFrame,
     weather: DataFrame,
     measures: Sequence[str] = tuple(DEMAND_MEASURES),
-    n_ids: int | None = 50,
+    n_ids: int | None = None,
     seed: int = 42,
     unit: str = "hour",
     target: str = "y",
@@ -72,7 +72,7 @@ def demand_weather_correlation(
 ) -> DataFrame:
     """Correlation of demand with weather at the same place and time.
 
-    ``n_ids`` series are sampled from the metadata; ``None`` uses every series.
+    Every series counts, unless ``n_ids`` asks for a sample of so many from the metadata.
     """
     if n_ids is not None:
         ids = sample_ids(metadata, "unique_id", n_ids, seed)

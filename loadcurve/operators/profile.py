@@ -53,8 +53,8 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), exac
 
 
 def target_counts(df: DataFrame, target: str = "y") -> DataFrame:
-    """Row, null and non-positive counts with percentages, in one pass."""
-    y = F.col(target)
+    """Row, null and non-positive counts with percentages, in one pass; NaN counts as null."""
+    y = nan_to_null(F.col(target).cast("double"))
     counts = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(y).alias("n_valid"),

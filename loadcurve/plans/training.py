@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from loadcurve.operators.projections import numeric_columns
 from loadcurve.operators.regression import (
-    assemble, evaluate, feature_importance, fit_boosted_trees, fit_linear, save_model, score, split_by_time,
+    assemble, evaluate, feature_importance, fit_boosted_trees, fit_linear, save_model, score, skipped_rows, split_by_time,
 )
 
 
@@ -22,6 +22,7 @@ class Trained:
     scored: DataFrame
     metrics: DataFrame
     importance: DataFrame
+    skipped: DataFrame  # rows in total, and rows left out for a missing feature
 
 
 def train_and_evaluate(
@@ -46,5 +47,5 @@ def train_and_evaluate(
     scored = score(boosted, score(linear, test, "linear"), "boosted")
     return Trained(
         linear, boosted, columns, scored, evaluate(scored, ["linear", "boosted"]),
-        feature_importance(boosted, columns, features),
+        feature_importance(boosted, columns, features), skipped_rows(features, columns),
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import os
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadcurve.functions.times import as_timestamp
 
@@ -14,8 +16,14 @@ class PrecisionLossError(ValueError):
     """Raised when coarser timestamps would drop information."""
 
 
-def _plain(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:").rstrip("/")
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, made absolute; links of local paths are followed."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    uri = system.makeQualified(hadoop_path).toUri()
+    if uri.getScheme() == "file":
+        return "file:" + os.path.realpath(uri.getPath())
+    return uri.toString().rstrip("/")
 
 
 def _refuse_input_path(df: DataFrame, path: str, inputs: Iterable[str] | None) -> None:
@@ -23,9 +31,10 @@ def _refuse_input_path(df: DataFrame, path: str, inputs: Iterable[str] | None) -
 
     Callers that know their input roots pass them; otherwise the plan's file list is used.
     """
-    target = _plain(path)
-    for source in df.inputFiles() if inputs is None else inputs:
-        source = _plain(source)
+    spark = df.sparkSession
+    target = _qualified(spark, path)
+    for source in {p.rsplit("/", 1)[0] for p in df.inputFiles()} if inputs is None else inputs:
+        source = _qualified(spark, source)
         if source == target or source.startswith(target + "/") or target.startswith(source + "/"):
             raise ValueError(f"refusing to overwrite an input of the plan: {path}")
 
@@ -65,25 +74,34 @@ def written_rows(spark: SparkSession, path: str) -> int:
     return read_back(spark, path).count()
 
 
-def sub_millisecond_rows(df: DataFrame, column: str = "timestamp") -> int:
-    """Rows whose timestamp is finer than a millisecond."""
-    ts = F.col(column)
-    return as_timestamp(df, column).filter(ts != F.date_trunc("millisecond", ts)).count()
+def timestamp_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+
+
+def sub_millisecond_rows(df: DataFrame, columns: str | Sequence[str] = "timestamp") -> int:
+    """Rows in which one of the timestamps is finer than a millisecond, counted in one pass."""
+    finer = F.lit(False)
+    for name in [columns] if isinstance(columns, str) else columns:
+        df = as_timestamp(df, name)
+        ts = F.col(f"`{name}`")
+        finer = finer | F.coalesce(ts != F.date_trunc("millisecond", ts), F.lit(False))
+    return df.filter(finer).count()
 
 
 def rewrite_with_millisecond_timestamps(spark: SparkSession, source: str, target: str, column: str = "timestamp") -> None:
     """Copy a Parquet table with timestamps stored in milliseconds.
 
-    Raises before writing anything if a timestamp would lose precision.
+    The setting applies to every timestamp column, so all of them are checked; raises before writing
+    anything if one would lose precision.
     """
     df = as_timestamp(spark.read.parquet(source), column)
-    lossy = sub_millisecond_rows(df, column)
+    lossy = sub_millisecond_rows(df, timestamp_columns(df))
     if lossy:
         raise PrecisionLossError(f"{lossy} rows in {source} are finer than a millisecond")
     key = "spark.sql.parquet.outputTimestampType"
     before = spark.conf.get(key)
     spark.conf.set(key, "TIMESTAMP_MILLIS")
     try:
-        write_table(df, target)
+        write_table(df, target, inputs=[source])
     finally:
         spark.conf.set(key, before)

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -90,3 +91,23 @@ def test_table_profile(frame):
     df = frame([("a", at(0), 1.0), ("b", at(0), None)], READING)
     assert [tuple(r) for r in tables.table_profile({"t": df, "e": df.limit(0)}).collect()] == [("t", 2, 3), ("e", 0, 3)]
     assert tables.preview(df, 1).count() == 1
+
+
+def test_every_timestamp_column_is_checked_before_a_rewrite(spark, frame, tmp_path):
+    rows = [(at(0), datetime(2024, 1, 1, 0, 0, 0, 123456)), (at(1), None)]
+    frame(rows, "timestamp timestamp, seen timestamp").write.parquet(f"{tmp_path}/in")
+    with pytest.raises(sinks.PrecisionLossError):
+        sinks.rewrite_with_millisecond_timestamps(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    assert not (tmp_path / "out").exists()
+
+
+def test_overwrite_guard_follows_relative_paths_and_links(spark, frame, tmp_path, monkeypatch):
+    frame([(1,)], "a int").write.parquet(f"{tmp_path}/in")
+    (tmp_path / "link").symlink_to(tmp_path / "in")
+    relative = os.path.relpath(tmp_path / "in", os.getcwd())
+    for target in (relative, f"{tmp_path}/link", f"file://{tmp_path}/in/", str(tmp_path)):
+        with pytest.raises(ValueError):
+            sinks.write_table(spark.read.parquet(f"{tmp_path}/in"), target)
+        with pytest.raises(ValueError):
+            sinks.write_table(spark.read.parquet(f"{tmp_path}/in"), target, inputs=[f"{tmp_path}/in"])
+    assert spark.read.parquet(f"{tmp_path}/in").count() == 1
