@@ -63,7 +63,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     sampled = correlation.demand_weather_correlation(
-        t.orders_demand, t.metadata, t.daily, DAILY_MEASURES, size_bound=t.daily_raw
+        t.orders_demand, t.metadata, t.daily, DAILY_MEASURES, n_ids=50, size_bound=t.daily_raw
     )
     return rounded(sampled, 6)
 

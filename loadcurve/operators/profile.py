@@ -53,8 +53,12 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), exac
 
 
 def target_counts(df: DataFrame, target: str = "y") -> DataFrame:
-    """Row, null and non-positive counts with percentages, in one pass; NaN counts as null."""
-    y = nan_to_null(F.col(target).cast("double"))
+    """Row, null and non-positive counts with percentages, in one pass.
+
+    As in the surveyed report NaN counts as valid here; ``describe`` and ``missing_values`` count it
+    as missing.
+    """
+    y = F.col(target)
     counts = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(y).alias("n_valid"),
