@@ -33,8 +33,8 @@ from loadcurve.session import stored
 
 PART_ROWS = 50_000
 ROUNDS = 6
-# Chunks, and words, remembered per worker; when full, the memory starts anew.
-REMEMBERED = 1_000_000
+# Chunks and words remembered per worker, in each of two generations; 100,000 take some 25 MB.
+REMEMBERED = 300_000
 # The vocabulary's split pattern, for chunks without white space.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Texts whose characters are all in these ranges are cut at white space before they are encoded;
@@ -46,43 +46,46 @@ class ChunkEncoder:
     """Ids of whole texts by a vocabulary file that drops white space, as little-endian bytes.
 
     The split pattern never crosses white space, so a text's ids are those of its chunks one after
-    another, and a chunk's those of its words; each word is encoded by the library once and both are
-    remembered.
+    another, and a chunk's those of its words.  The library encodes words; they and chunks are remembered
+    in two generations of about ``most`` entries: what is used again moves to the recent one, and a full
+    recent one replaces the older one.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work already
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
+    def _unknown(self, keys: set[str]) -> list[str]:
+        """Keys of neither generation; those of the older one move to the recent one."""
+        missing, older = keys.difference(self.recent), self.older
+        self.recent.update((k, older[k]) for k in missing if k in older)
+        return [k for k in missing if k not in older]
+
     def _learn(self, chunks: list[str]) -> None:
         split = {c: WORDS.findall(c) for c in chunks}
-        missing = list({w for words in split.values() for w in words}.difference(self.words))
-        if len(self.words) + len(missing) > self.most:
-            self.words = {}
-            missing = list({w for words in split.values() for w in words})
+        missing = self._unknown({w for words in split.values() for w in words})
         if missing:
-            self.words.update(zip(missing, self._library(missing)))
-        words = self.words
-        self.chunks.update((c, b"".join([words[w] for w in split[c]])) for c in chunks)
+            self.recent.update(zip(missing, self._library(missing)))
+        ids = self.recent
+        ids.update([(c, b"".join([ids[w] for w in split[c]])) for c in chunks])
 
     def encode(self, text: str) -> bytes:
         if SIMPLE.search(text) or self.special.search(text):
             return self._library([text])[0]
+        if len(self.recent) >= self.most:
+            self.older, self.recent = self.recent, {}
         chunks = unicodedata.normalize("NFC", text).lower().split()
-        missing = list(set(chunks).difference(self.chunks))
+        missing = self._unknown(set(chunks))
         if missing:
-            if len(self.chunks) + len(missing) > self.most:
-                self.chunks = {}
-                missing = list(set(chunks))
             self._learn(missing)
-        return b"".join(map(self.chunks.__getitem__, chunks))
+        return b"".join(map(self.recent.__getitem__, chunks))
 
 
 @lru_cache(maxsize=2)

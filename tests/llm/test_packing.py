@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from loadcurve.llm.packing import best_fit_decreasing, encoder, lower_bound, packed_sequences
+from loadcurve.llm.packing import ChunkEncoder, best_fit_decreasing, encoder, lower_bound, packed_sequences
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", "  ", "Hello WORLD's  end", "Straße É é ñ", "İstanbul ΣΑΣ", "日本 ﬁ", "<|endoftext|> x", "a\x1cb", "1234 !?", "é", "word " * 9000]
@@ -29,6 +29,16 @@ def test_ids_equal_the_library():
         assert np.frombuffer(exact.encode(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids, text
 
 
+def test_forgetting_changes_no_ids():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["the", "End,", "don't", "x" * rng.randint(1, 9), str(rng.randint(0, 99))]) for _ in range(30)) for _ in range(200)]
+    for most in (1, 7, 50):
+        forgetful = ChunkEncoder(PATH, most)
+        for text in texts:
+            assert np.frombuffer(forgetful.encode(text), "<u4").tolist() == library_ids(text), (most, text)
+        assert len(forgetful.recent) + len(forgetful.older) <= 2 * (most + 150)
+
+
 def check(rows, packed, capacity):
     want = []
     for d, t in rows:
