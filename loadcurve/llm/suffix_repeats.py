@@ -38,7 +38,7 @@ LENGTH = 100
 GRAM = 40
 HOT = 20_000
 # Bytes of a text that are hashed at once, and bytes of suffixes sorted into one run.
-HASHED_AT_ONCE = 1 << 22
+HASHED_AT_ONCE = 1 << 19
 RUN_BYTES = 48 << 20
 NO_ID = -(1 << 63)
 

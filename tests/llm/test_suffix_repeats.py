@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from loadcurve.llm import suffix_repeats
 from loadcurve.llm.suffix_repeats import common_prefix, merge_runs, repeat_report
 
 
@@ -83,3 +84,18 @@ def test_loser_tree_merges_and_knows_prefixes():
         merged = [runs[r][1][i] for r, i in order]
         assert merged == sorted(s for _, suffixes in runs for s in suffixes)
         assert prefixes[1:] == [common_prefix(x, y) for x, y in zip(merged, merged[1:])]
+
+
+def test_blocks_of_a_text_do_not_move_anchors(monkeypatch):
+    rng = random.Random(5)
+    data = bytes(rng.choice(b"abc ") for _ in range(5000)) * 2
+
+    def by_window():
+        place, hashes, first, last = suffix_repeats.anchors(data)
+        return [(p, h) for p, h, a, b in zip(place.tolist(), hashes.tolist(), first.tolist(), last.tolist()) for _ in range(a, b + 1)]
+
+    whole = by_window()
+    assert len(whole) == len(data) - suffix_repeats.LENGTH + 1
+    for block in (128, 1000, 9999):
+        monkeypatch.setattr(suffix_repeats, "HASHED_AT_ONCE", block)
+        assert by_window() == whole
