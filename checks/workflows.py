@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.aggregates import HOURLY_SQL, completeness_sql, other_sql
+from checks.aggregates import HOURLY_SQL, box_sql, completeness_sql, other_sql
 from checks.fixtures import DAILY_TIES, Tables
 from checks.joins import LOST
 from checks.registry import check, rounded
@@ -123,6 +123,34 @@ def _(t: Tables):
     return rounded(profiling.profile_relations(t.readings, t.metadata, t.weather)["by_dataset"], 4)
 
 
+@check(
+    "q4_box_by_dataset",
+    """, x AS (SELECT r.y, coalesce(m.dataset, 'Missing') AS dataset FROM readings r LEFT JOIN metadata m ON r.unique_id = m.unique_id) """
+    + box_sql("x", "dataset", "y", 4),
+)
+def _(t: Tables):
+    return rounded(profiling.profile_relations(t.readings, t.metadata, t.weather)["box_by_dataset"], 4)
+
+
+@check(
+    "q4_weather_correlation",
+    """, x AS (SELECT d.y, w.temperature_2m FROM demand d JOIN metadata m ON d.unique_id = m.unique_id
+            JOIN weather w ON w.location_id = m.location_id AND w."timestamp" = date_trunc('hour', d."timestamp") WHERE d.y IS NOT NULL)
+       SELECT 'temperature_2m' AS measure, round(corr(y, temperature_2m), 6) AS r FROM x""",
+)
+def _(t: Tables):
+    return rounded(profiling.profile_relations(t.demand, t.metadata, t.weather)["weather_correlation"], 6)
+
+
+@check(
+    "q4_weather_intervals",
+    """, g AS (SELECT epoch("timestamp") - epoch(lag("timestamp") OVER (PARTITION BY location_id ORDER BY "timestamp")) AS s FROM weather)
+       SELECT CAST(s AS BIGINT) AS diff_seconds, count(*) AS count FROM g WHERE s IS NOT NULL GROUP BY 1 ORDER BY count DESC, diff_seconds LIMIT 10""",
+)
+def _(t: Tables):
+    return profiling.profile_weather(t.weather.withColumn("precipitation", F.col("temperature_2m")))["intervals"]
+
+
 @check(
     "q5_weather_completeness",
     completeness_sql("daily", 86400) + "SELECT *, round(100.0 * actual_records / expected_records, 4) AS completeness_pct FROM q",

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +31,25 @@ DEMAND_MEASURES = [
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = tuple(MATRIX_MEASURES)) -> DataFrame:
     """(i, j, column_i, column_j, r) over the complete rows of the columns that exist.
 
-    MLlib sums the products on the executors in one pass; only the k x k matrix returns.
+    One lazy aggregation: a complete row yields one record per column, which is correlated with all
+    columns at once; the k records of a task's rows are combined before the shuffle.
     """
     present = [c for c in columns if c in df.columns]
     if len(present) < 2:
         raise ValueError("a correlation needs at least two of the columns")
-    vectors = VectorAssembler(inputCols=present, outputCol="v", handleInvalid="skip").transform(df.select(*present))
-    matrix = Correlation.corr(vectors.select("v"), "v").head()[0].toArray()
-    cells = [
-        (i, j, present[i], present[j], float(matrix[i, j])) for i in range(len(present)) for j in range(len(present))
-    ]
-    return df.sparkSession.createDataFrame(cells, "i int, j int, column_i string, column_j string, r double")
+    numbers = complete_cases(df.select(*(to_number(F.col(f"`{c}`")).alias(c) for c in present)))
+    values = [F.col(f"`{c}`") for c in present]
+    each = F.posexplode(F.array(*values)).alias("i", "__x")
+    rows = numbers.select(*present, each).groupBy("i").agg(
+        *(F.corr("__x", v).alias(f"__r{j}") for j, v in enumerate(values))
+    )
+    cells = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"__r{j}").alias("r")) for j in range(len(present))))
+    names = F.array(*(F.lit(c) for c in present))
+    return rows.select("i", F.inline(cells)).select(
+        "i", "j", F.get(names, "i").alias("column_i"), F.get(names, "j").alias("column_j"),
+        # a column agrees with itself exactly
+        F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("r")).alias("r"),
+    )
 
 
 def strong_pairs(matrix: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -72,5 +72,5 @@ def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 
 def in_top_categories(df: DataFrame, top: DataFrame, category: str) -> DataFrame:
-    """Rows whose category is in a top-N frame (bounded by N, so it is broadcast)."""
-    return df.join(F.broadcast(top.select(category)), category, "left_semi")
+    """Rows whose category is in a top-N frame, which Spark broadcasts if its size allows."""
+    return df.join(top.select(category), category, "left_semi")

@@ -95,8 +95,8 @@ def keys_only_left(left: DataFrame, right: DataFrame, key: str = "location_id")
 
 
 def compare_ranges(left: DataFrame, right: DataFrame, key: str = "location_id") -> DataFrame:
-    """Full outer join of two small per-key range tables, nulls last."""
-    return left.join(right, key, "outer").orderBy(F.col(key).asc_nulls_last())
+    """Full outer join of two per-key range tables, in no order."""
+    return left.join(right, key, "outer")
 
 
 def existing_keys(keys: DataFrame, reference: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from loadcurve.functions.scalars import finite_or_null, is_missing, label_or, log1p_shifted, nan_to_null, percent
 from loadcurve.operators.quantiles import approximate_quantiles, exact_quantiles
 from loadcurve.operators.skew import attach, fits_broadcast, join_groups
+from loadcurve.session import stored
 from loadcurve.sources.tables import require_columns
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -32,7 +33,7 @@ def to_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """count, mean, stddev, min, quartiles and max, one row per column (and group).
 
-    ``exact=False`` uses sketch quantiles, which saves a pass.  Missing values are ignored.
+    ``exact=False`` stops the quantiles after two of four passes.  Missing values are ignored.
     """
     long = to_long(df, columns, by)
     keys = [*by, "column"]
@@ -46,7 +47,7 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), exac
     if exact:
         quartiles = exact_quantiles(long, keys, "value", QUARTILES, few_groups=None if by else True)
     else:
-        quartiles = approximate_quantiles(long, keys, "value", QUARTILES)
+        quartiles = approximate_quantiles(long, keys, "value", QUARTILES, few_groups=None if by else True)
     return join_groups(moments, quartiles, keys).select(
         *keys, "count", "mean", "stddev", "min", "q25", "q50", "q75", "max"
     )
@@ -149,35 +150,42 @@ def missing_location_breakdown(
 
 
 def boxplot_stats(
-    df: DataFrame, category: str, value: str, missing_label: str | None = None, log_epsilon: float = 1e-6
+    df: DataFrame, category: str, value: str, missing_label: str | None = None, log_epsilon: float = 1e-6,
+    category_order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Box-plot numbers per category on the original and the log1p scale.
 
     Whiskers end at the outermost values within 1.5 IQR of the box; the rest are outliers.  The log
-    scale covers non-negative values only.
+    scale covers non-negative values only.  ``category_order`` keeps the named categories alone, in
+    that order.  The input is read once, when this is called: its distinct values are counted per
+    category into the shared folder, and all passes of the quantiles read those counts.
     """
     shown = label_or(F.col(category), missing_label) if missing_label else F.col(category)
     y = nan_to_null(F.col(value).cast("double"))
+    rows = df.select(shown.alias(category), y.alias("__y")).dropna()
+    if category_order is not None:
+        rows = rows.filter(F.col(category).isin(list(category_order)))
+    counted = stored(rows.groupBy(category, "__y").agg(F.count(F.lit(1)).alias("__n")))
     pairs = F.array(
-        F.struct(F.lit("original").alias("scale"), y.alias("value")),
-        F.struct(F.lit("log1p").alias("scale"), log1p_shifted(y, log_epsilon).alias("value")),
-    )
-    long = (
-        df.select(shown.alias(category), F.inline(pairs))
-        .filter(F.col("value").isNotNull() & F.col(category).isNotNull())
+        F.struct(F.lit("original").alias("scale"), F.col("__y").alias("value")),
+        F.struct(F.lit("log1p").alias("scale"), log1p_shifted(F.col("__y"), log_epsilon).alias("value")),
     )
+    long = counted.select(category, "__n", F.inline(pairs)).filter(F.col("value").isNotNull())
     keys = [category, "scale"]
-    few = fits_broadcast(df.select(category).distinct())
-    quartiles = exact_quantiles(long, keys, "value", QUARTILES, few_groups=few)
+    few = fits_broadcast(counted.select(category).distinct())
+    quartiles = exact_quantiles(long, keys, "value", QUARTILES, few_groups=few, weight="__n")
     boxed = attach(long, quartiles, keys, how="inner", spread_by=["value"], small=few)
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = (F.col("value") >= F.col("q25") - reach) & (F.col("value") <= F.col("q75") + reach)
-    return boxed.groupBy(*keys, "q25", "q50", "q75").agg(
-        F.count(F.lit(1)).alias("count"),
+    boxes = boxed.groupBy(*keys, "q25", "q50", "q75").agg(
+        F.sum("__n").alias("count"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("__n"))).cast("long").alias("n_outliers"),
     )
+    if category_order is None:
+        return boxes
+    return boxes.orderBy(F.array_position(F.lit(list(category_order)), F.col(category)), F.desc("scale"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30, scale: str = "original") -> DataFrame:

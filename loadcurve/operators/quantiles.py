@@ -1,34 +1,116 @@
-"""Exact quantiles without holding a group's values in one task.
+"""Exact quantiles without holding a group's values in one task and without sketches.
 
-Spark's ``percentile`` gathers all distinct values of a group in memory.  Here a bounded sketch
-first brackets every requested rank; a second pass counts what lies below each bracket and ranks
-only the few values inside, at most 4 in 100,000 per quantile.
+The value at a rank is narrowed down in rounds.  Each round counts a group's values in a bounded
+number of buckets, combined map-side, and keeps the one bucket that holds the rank; the next round
+divides the range of the values found in it.  Doubles are told apart after four rounds of 65,536.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcurve.operators.skew import attach, fits_broadcast
 
-SKETCH_ACCURACY = 100_000
+BUCKETS = 65_536
+# The first round cuts each power of two into this many buckets, whatever the range of the values.
+BUCKETS_PER_OCTAVE = 32
+# What then remains of the 53 bits of a double.
+BITS_LEFT = 48
 
 
 def quantile_names(probabilities: Sequence[float]) -> list[str]:
     return [f"q{round(p * 100)}" for p in probabilities]
 
 
-def approximate_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float], accuracy: int = SKETCH_ACCURACY
+def _magnitude_bucket(v: Column) -> Column:
+    """Buckets of equal ratio in the order of the values; zero and the infinities have their own."""
+    size = F.floor(F.log2(F.abs(v)) * BUCKETS_PER_OCTAVE) + 40_000
+    size = F.when(F.abs(v) == float("inf"), 100_000).otherwise(size)
+    return F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
+
+
+def _brackets(
+    df: DataFrame, by: Sequence[str], value: str, weight: str | None, probabilities: Sequence[float],
+    buckets: int, rounds: int, few_groups: bool | None,
 ) -> DataFrame:
-    """One row per group with sketch quantiles (actual data values, rank error 1 / accuracy)."""
-    sketch = F.percentile_approx(value, [float(p) for p in probabilities], accuracy)
-    return df.groupBy(*by).agg(sketch.alias("__q")).select(
-        *by, *(F.col("__q")[i].alias(n) for i, n in enumerate(quantile_names(probabilities)))
+    """(by..., i, pos, rank, c, lo, hi, next): the values lo to hi among which the rank of each position lies.
+
+    ``rank`` counts from the first of the ``c`` values of the bracket, ``next`` is the value beyond it.
+    """
+    v = F.col(value)
+    count = F.lit(1) if weight is None else F.col(weight)
+    clean = df.filter(v.isNotNull() & ~F.isnan(v)).select(
+        # one zero, so that equal values have one rank
+        *by, (v + F.lit(0.0)).alias("__v"), count.cast("long").alias("__w")
+    )
+    if few_groups is None:
+        few_groups = fits_broadcast(clean.select(*by).distinct())
+
+    def counted(rows: DataFrame, keys: list[str], bucket: Column, *kept: Column) -> DataFrame:
+        cells = rows.groupBy(*keys, bucket.alias("__b")).agg(
+            F.sum("__w").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), *kept
+        )
+        order = Window.partitionBy(*keys).orderBy("__b")
+        # a group's cells are bounded, so one exchange serves the window and the grouping that follows
+        return cells.repartition(*by).withColumns(
+            {
+                "__end": F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+                "__after": F.lead("__lo").over(order),
+            }
+        )
+
+    groups = list(by)
+    first = counted(clean, groups, _magnitude_bucket(F.col("__v")))
+    ranks = F.array(*(F.struct(F.lit(i).alias("__i"), F.lit(p).alias("__p")) for i, p in enumerate(probabilities)))
+    found = (
+        first.withColumn("__n", F.sum("__c").over(Window.partitionBy(*groups)))
+        .select("*", F.inline(ranks))
+        .withColumn("__pos", F.col("__p") * (F.col("__n") - 1))
+        .withColumn("__rank", F.floor("__pos") - (F.col("__end") - F.col("__c")))
+        .filter((F.col("__rank") >= 0) & (F.col("__rank") < F.col("__c")))
+        .select(*groups, "__i", "__pos", "__rank", "__c", "__lo", "__hi", F.col("__after").alias("__next"))
     )
+    for _ in range(rounds - 1):
+        targets = found.groupBy(*groups).agg(
+            F.collect_list(F.struct("__i", "__pos", "__rank", "__next", "__lo", "__hi")).alias("__t")
+        )
+        placed = attach(clean, targets, groups, "inner", spread_by=["__v"], null_safe=True, small=few_groups)
+        hits = placed.select(
+            *groups, "__v", "__w",
+            F.expr("inline(filter(__t, t -> __v >= t.__lo and __v <= t.__hi))").alias("__i", "__pos", "__rank", "__next", "__lo", "__hi"),
+        )
+        share = F.when(F.col("__hi") > F.col("__lo"), (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))
+        bucket = F.coalesce(F.least(F.floor(share * buckets), F.lit(buckets - 1)), F.lit(0))
+        cells = counted(
+            hits, [*groups, "__i"], bucket,
+            F.max("__pos").alias("__pos"), F.max("__rank").alias("__rank"), F.max("__next").alias("__next"),
+        )
+        found = (
+            cells.withColumn("__rank", F.col("__rank") - (F.col("__end") - F.col("__c")))
+            .filter((F.col("__rank") >= 0) & (F.col("__rank") < F.col("__c")))
+            .select(
+                *groups, "__i", "__pos", "__rank", "__c", "__lo", "__hi",
+                F.coalesce("__after", "__next").alias("__next"),
+            )
+        )
+    return found
+
+
+def approximate_quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float],
+    buckets: int = BUCKETS, few_groups: bool | None = None,
+) -> DataFrame:
+    """One row per group with data values within a 2,000,000th of those at the ranks, from two rounds.
+
+    Null and NaN values are ignored.
+    """
+    names = quantile_names(probabilities)
+    found = _brackets(df, by, value, None, [float(p) for p in probabilities], buckets, 2, few_groups)
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("__i") == i, F.col("__lo"))).alias(n) for i, n in enumerate(names)))
 
 
 def exact_quantiles(
@@ -36,88 +118,24 @@ def exact_quantiles(
     by: Sequence[str],
     value: str,
     probabilities: Sequence[float],
-    accuracy: int = SKETCH_ACCURACY,
+    buckets: int = BUCKETS,
     few_groups: bool | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles of a double column.
 
     Null and NaN values are ignored.  ``by`` needs at least one column.  ``few_groups`` says whether
-    the groups are known to be few; if left open they are counted.
+    the groups are known to be few; if left open they are counted.  ``weight`` names a column of
+    whole numbers, how often each row counts.  Fewer ``buckets`` take more rounds.
     """
-    probabilities = [float(p) for p in probabilities]
     names = quantile_names(probabilities)
-    index = range(len(probabilities))
-    v = F.col(value)
-    clean = df.filter(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("__v"))
-    if few_groups is None:
-        few_groups = fits_broadcast(clean.select(*by).distinct())
-
-    # Brackets: the sketch may be off by n / accuracy ranks, so step twice that far outwards.
-    margin = 2.0 / accuracy
-    lows = [max(0.0, p - margin) for p in probabilities]
-    highs = [min(1.0, p + margin) for p in probabilities]
-    sketch = clean.groupBy(*by).agg(F.percentile_approx("__v", lows + highs, accuracy).alias("__s"))
-    brackets = sketch.select(
-        *by,
-        *(F.col("__s")[i].alias(f"__lo{i}") for i in index),
-        *(F.col("__s")[i + len(probabilities)].alias(f"__hi{i}") for i in index),
-    )
-
-    # Values inside a bracket keep their own record; all others of a group fold into one record
-    # that counts, per bracket, what lies below it and remembers its nearest outside neighbours.
-    # Both kinds shrink in the map-side aggregation.
-    placed = attach(clean, brackets, list(by), "inner", spread_by=["__v"], null_safe=True, small=few_groups)
-    inside = " or ".join(f"(__v >= __lo{i} and __v <= __hi{i})" for i in index)
-    outside_stats = [
-        F.expr(e)
-        for i in index
-        for e in (
-            f"count_if(not ({inside}) and __v < __lo{i}) as __below{i}",
-            f"max(case when __v < __lo{i} then __v end) as __prev{i}",
-            f"min(case when __v > __hi{i} then __v end) as __next{i}",
-            f"max(__lo{i}) as __lo{i}",
-            f"max(__hi{i}) as __hi{i}",
-        )
-    ]
-    counted = placed.groupBy(*by, F.expr(f"case when {inside} then __v end").alias("__x")).agg(
-        F.count(F.lit(1)).alias("__c"), *outside_stats
-    )
-
-    # Rank of an inside value = outside values below its bracket + inside values before it.
-    group = Window.partitionBy(*by)
-    own = F.expr("case when __x is not null then __c else 0 end")
-    ranked = counted.withColumns(
-        {
-            "__n": F.sum("__c").over(group),
-            "__end": F.sum(own).over(group.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)),
-            **{f"__below{i}": F.sum(f"__below{i}").over(group) for i in index},
-        }
-    )
-    picks = []
-    for i, p in enumerate(probabilities):
-        position = f"({p}D * (__n - 1))"
-        here = f"__x >= __lo{i} and __x <= __hi{i}"
-        for side, rank in (("a", f"floor({position})"), ("b", f"ceil({position})")):
-            at = f"{rank} - __below{i}"
-            picks.append(F.expr(f"max(case when {here} and {at} >= __end - __c and {at} < __end then __x end) as __{side}{i}"))
-            picks.append(F.expr(f"max({rank}) as __r{side}{i}"))
-        picks.append(F.expr(f"max({position}) as __pos{i}"))
-        # ranks of the bracket's ends, and its neighbours
-        picks.append(F.expr(f"max(__below{i}) + sum(case when __x < __lo{i} then __c else 0 end) as __from{i}"))
-        picks.append(F.expr(f"max(__below{i}) + sum(case when __x <= __hi{i} then __c else 0 end) as __to{i}"))
-        picks.append(F.expr(f"max(__prev{i}) as __prev{i}"))
-        picks.append(F.expr(f"min(__next{i}) as __next{i}"))
-    found = ranked.groupBy(*by).agg(*picks)
-
-    def value_at(side: str, i: int) -> str:
-        return (
-            f"case when __{side}{i} is not null then __{side}{i} "
-            f"when __r{side}{i} = __from{i} - 1 then __prev{i} when __r{side}{i} = __to{i} then __next{i} "
-            f"else cast(raise_error('quantile rank outside its bracket') as double) end"
-        )
-
-    quantiles = (
-        F.expr(f"{value_at('a', i)} + ({value_at('b', i)} - {value_at('a', i)}) * (__pos{i} - __ra{i})").alias(name)
-        for i, name in enumerate(names)
+    rounds = 1 + math.ceil(BITS_LEFT / math.log2(buckets))
+    found = _brackets(df, by, value, weight, [float(p) for p in probabilities], buckets, rounds, few_groups)
+    here = F.expr(
+        "case when __lo = __hi then __lo else cast(raise_error('bracket with several values') as double) end"
     )
-    return found.select(*by, *quantiles)
+    # the value at the next rank is the same one, or the first beyond the bracket
+    there = F.when((F.col("__rank") + 1 < F.col("__c")) | F.col("__next").isNull(), here).otherwise(F.col("__next"))
+    part = F.col("__pos") - F.floor("__pos")
+    at = F.when((part == 0) | (here == there), here).otherwise(here + (there - here) * part)
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("__i") == i, at)).alias(n) for i, n in enumerate(names)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadcurve.functions.scalars import percent
+from loadcurve.operators.skew import BROADCAST_ROWS
 
 
 def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
@@ -46,9 +47,10 @@ def sample_series(
     """Every row of n sampled ids, ordered by id and time.
 
     The ids come from ``ids_from`` (a dimension) when given, else from the frame itself.  The id list
-    is bounded by n, hence broadcast.
+    is bounded by n, hence broadcast while n is small.
     """
     ids = sample_ids(df if ids_from is None else ids_from, key, n, seed)
     wanted = list(columns or df.columns)
     order = [key] + [timestamp] * (timestamp in wanted)
-    return df.join(F.broadcast(ids), key, "left_semi").select(*wanted).orderBy(*order)
+    ids = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
+    return df.join(ids, key, "left_semi").select(*wanted).orderBy(*order)

@@ -13,7 +13,7 @@ from loadcurve.operators.diagnostics import quality_report
 from loadcurve.operators.filters import in_top_categories
 from loadcurve.operators.joins import join_metadata
 from loadcurve.operators.profile import (
-    NON_NEGATIVE_MEASURES, boxplot_stats, describe, histogram, missing_location_breakdown, negative_counts,
+    NON_NEGATIVE_MEASURES, boxplot_stats, describe, histogram, location_density, missing_location_breakdown, negative_counts,
     target_counts, value_shares,
 )
 from loadcurve.operators.projections import numeric_columns
@@ -52,6 +52,8 @@ def profile_metadata(metadata: DataFrame) -> dict[str, DataFrame]:
         report["stats"] = describe(metadata, numbers)
         report.update({f"histogram_{c}": histogram(metadata, c) for c in numbers})
     report["missing_location"] = missing_location_breakdown(metadata)
+    if {"latitude", "longitude"} <= set(metadata.columns):
+        report["location_density"] = location_density(metadata)
     return report
 
 
@@ -63,6 +65,7 @@ def profile_weather(weather: DataFrame, measures: Sequence[str] = tuple(WEATHER_
         "stats": describe(weather, numbers, exact=False),
         "correlation": matrix,
         "strong_pairs": strong_pairs(matrix),
+        "intervals": top_k(interval_counts(gaps), 10, "count", ["diff_seconds"]),
         "dominant_interval": dominant_interval(gaps),
         "series_intervals": top_intervals(gaps, "location_id"),
     }
@@ -82,6 +85,7 @@ def profile_relations(
         report["by_building_class"] = boxplot_stats(wide, "building_class", "y", "__MISSING__")
     if "dataset" in wide.columns:
         report["by_dataset"] = describe(wide, ["y"], ["dataset"])
+        report["box_by_dataset"] = boxplot_stats(wide, "dataset", "y", "Missing")
     if "location" in wide.columns:
         named = wide.fillna({"location": "Missing"})
         top = top_categories(named, "location", top_locations)
@@ -92,7 +96,11 @@ def profile_relations(
 
 
 def profile_tables(demand: DataFrame, metadata: DataFrame, weather: DataFrame, unit: str = "hour") -> dict[str, dict[str, DataFrame]]:
-    """The whole profile; every entry is a lazy frame except the correlation matrix."""
+    """The whole profile.
+
+    Entries are lazy frames, but building them counts sides that may be broadcast and stores the
+    distinct values behind the box plots.
+    """
     tables = {"demand": demand, "metadata": metadata, "weather": weather}
     keys = {"demand": ["unique_id", "timestamp"], "metadata": ["unique_id"], "weather": ["location_id", "timestamp"]}
     times = {"demand": "timestamp", "weather": "timestamp"}
@@ -101,5 +109,5 @@ def profile_tables(demand: DataFrame, metadata: DataFrame, weather: DataFrame, u
         "metadata": profile_metadata(metadata),
         "weather": profile_weather(weather),
         "relations": profile_relations(demand, metadata, weather, unit=unit),
-        "quality": {"tables": table_profile(tables), "report": quality_report(tables, keys, times)},
+        "quality": {"tables": table_profile(tables, partitions=True), "report": quality_report(tables, keys, times)},
     }

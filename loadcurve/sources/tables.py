@@ -86,11 +86,15 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {absent}")
 
 
-def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per table: row and column counts (a table's rows are counted in one pass)."""
+def table_profile(tables: dict[str, DataFrame], partitions: bool = False) -> DataFrame:
+    """One row per table: row and column counts (a table's rows are counted in one pass).
+
+    ``partitions`` adds how many partitions hold rows; it depends on files and session, not on the data.
+    """
+    parts = [F.count_distinct(F.spark_partition_id()).alias("n_partitions")] if partitions else []
     rows = [
-        df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("table"), "n_rows", F.lit(len(df.columns)).alias("n_cols")
+        df.agg(F.count(F.lit(1)).alias("n_rows"), *parts).select(
+            F.lit(name).alias("table"), "n_rows", F.lit(len(df.columns)).alias("n_cols"), *["n_partitions"] * partitions
         )
         for name, df in tables.items()
     ]
