@@ -452,16 +452,54 @@ def _(t: Tables):
     return rounded(profile.boxplot_stats(in_top_categories(named, top, "location"), "location", "y"), 4)
 
 
-@check("m01_row_sample_report")
+def _within_bounds(sampled: int, rows: int, fraction: float) -> bool:
+    """Six standard deviations of a binomial count."""
+    return abs(sampled - fraction * rows) <= 6 * (rows * fraction * (1 - fraction)) ** 0.5
+
+
+def _report_holds(rows: list[dict], t: Tables) -> bool:
+    (row,) = rows
+    n = t.readings.count()
+    return (
+        row["n_rows"] == n
+        and _within_bounds(row["n_sampled"], n, 0.1)
+        and abs(row["achieved_fraction"] - row["n_sampled"] / n) < 1e-9
+    )
+
+
+@check("m01_row_sample_report", holds=_report_holds)
 def _(t: Tables):
     return sampling.sample_report(t.readings, 0.1)
 
 
-@check("m01_row_sample")
+@check("m01_row_sample", holds=lambda rows, t: _within_bounds(len(rows), t.readings.count(), 0.05))
 def _(t: Tables):
     return sampling.sample_rows(t.readings, 0.05)
 
 
+@check(
+    "m01_sample_properties",
+    "SELECT count(*) AS n_rows, true AS all_from_input, true AS share_in_bounds, true AS repeatable FROM readings",
+)
+def _(t: Tables):
+    sample, again = sampling.sample_rows(t.readings, 0.05), sampling.sample_rows(t.readings, 0.05)
+    n, k = F.col("n_rows"), F.col("n_sampled")
+    size = F.count(F.lit(1))
+    counts = t.readings.agg(size.alias("n_rows")).withColumns(
+        {
+            "n_sampled": sample.agg(size).scalar(),
+            "n_foreign": sample.exceptAll(t.readings).agg(size).scalar(),
+            "n_changed": sample.exceptAll(again).unionAll(again.exceptAll(sample)).agg(size).scalar(),
+        }
+    )
+    return counts.select(
+        "n_rows",
+        (F.col("n_foreign") == 0).alias("all_from_input"),
+        (F.abs(k - 0.05 * n) <= 6 * F.sqrt(n * 0.05 * 0.95)).alias("share_in_bounds"),
+        (F.col("n_changed") == 0).alias("repeatable"),
+    )
+
+
 @check(
     "m02_sampled_series",
     """, ids AS (SELECT unique_id FROM (SELECT DISTINCT unique_id FROM readings)

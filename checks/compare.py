@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from checks import ALL_QUERIES, ALL_SQL
 from checks.fixtures import TABLE_NAMES
+from checks.registry import INVARIANTS
 
 
 def canonical(frame: pd.DataFrame) -> tuple[list[str], list[tuple]]:
@@ -37,7 +38,8 @@ def compare(spark: SparkSession, sf_dir: str, name: str, con) -> tuple[bool, str
     got = frame.toPandas()
     took = f"{time.time() - started:5.1f}s"
     if name not in ALL_SQL:
-        return True, f"{took} {len(got)} rows (no SQL)"
+        kept = bool(INVARIANTS[name](got.to_dict("records"), spark, sf_dir))
+        return kept, f"{took} {len(got)} rows (invariant{'' if kept else ' broken'})"
     expected = con.execute(ALL_SQL[name]).df()
     columns, rows = canonical(got)
     want_columns, want = canonical(expected)

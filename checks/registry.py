@@ -13,6 +13,8 @@ from loadcurve.session import pin_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+# What must hold for the rows of a query that SQL cannot express.
+INVARIANTS: dict[str, Callable[[list[dict], SparkSession, str], bool]] = {}
 
 
 def zone_free(df: DataFrame) -> DataFrame:
@@ -21,8 +23,13 @@ def zone_free(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(f"`{c}`").cast("timestamp_ntz") for c in stamps}) if stamps else df
 
 
-def check(name: str, sql: str | None = None):
-    """Register a query; ``sql`` continues the shared table expressions (``, more AS (...) SELECT ...``)."""
+def check(name: str, sql: str | None = None, holds: Callable[[list[dict], Tables], bool] | None = None):
+    """Register a query with its SQL or with an invariant of its rows.
+
+    ``sql`` continues the shared table expressions (``, more AS (...) SELECT ...``).
+    """
+    if (sql is None) == (holds is None):
+        raise ValueError(f"{name} needs either SQL or an invariant")
 
     def register(build: Callable[[Tables], DataFrame]):
         if name in QUERIES:
@@ -35,6 +42,8 @@ def check(name: str, sql: str | None = None):
         QUERIES[name] = run
         if sql is not None:
             SQL[name] = BASE_SQL + sql
+        else:
+            INVARIANTS[name] = lambda rows, spark, sf_dir: holds(rows, Tables(spark, sf_dir))
         return build
 
     return register

@@ -130,15 +130,14 @@ def _lines(t: Tables):
     return regression.split_by_time(regression.assemble(as_timestamp(lines), ["l_quantity"]))
 
 
-@check("x06_linear_regression", OLS + "SELECT round(slope, 3) AS slope, round(intercept, 3) AS intercept FROM m")
+@check(
+    "x06_linear_regression",
+    OLS + 'SELECT l_shipdate AS "timestamp", y AS label, round(slope * x + intercept, 3) AS fitted FROM r, p, m WHERE l_shipdate < p.cut',
+)
 def _(t: Tables):
     train, _ = _lines(t)
-    model = regression.fit_linear(train)
-    # the coefficients travel with the plan of the table they were fitted on
-    return train.limit(1).select(
-        F.round(F.lit(float(model.coefficients[0])), 3).alias("slope"),
-        F.round(F.lit(float(model.intercept)), 3).alias("intercept"),
-    )
+    fitted = regression.score(regression.fit_linear(train), train, "fitted")
+    return rounded(fitted.select("timestamp", "label", "fitted"), 3, "fitted")
 
 
 @check("x08_scored_test_rows", OLS + 'SELECT "timestamp", label, round(prediction, 3) AS prediction FROM s')
@@ -205,15 +204,75 @@ def _stored_training_rows(t: Tables):
     return regression.split_by_time(regression.assemble(read_back(t.spark, path), X_FEATURES))
 
 
-@check("x07_boosted_trees")
+def _errors_hold(rows: list[dict], t: Tables) -> bool:
+    """Every complete test row is measured, and no error is far beyond the spread of the labels."""
+    test = regression.split_by_time(regression.assemble(t.merged.dropna(subset=["y"]), X_FEATURES))[1]
+    n, spread = test.agg(F.count(F.lit(1)), F.coalesce(F.stddev_pop("label"), F.lit(0.0))).first()
+    return len(rows) == 1 and all(r["n"] == n and 0 <= r["mae"] <= r["rmse"] <= 1.5 * spread for r in rows)
+
+
+@check("x07_boosted_trees", holds=_errors_hold)
 def _(t: Tables):
     train, test = _stored_training_rows(t)
-    model = regression.fit_boosted_trees(train, max_iter=3, max_depth=3)
-    return rounded(regression.evaluate(regression.score(model, test)), 4)
+    return rounded(regression.evaluate(regression.score(regression.fit_boosted_trees(train), test)), 4)
+
+
+@check(
+    "x07_step_target",
+    "SELECT CAST(l_linenumber AS DOUBLE) AS x, count(*) AS n, true AS learned FROM lineitem GROUP BY 1",
+)
+def _(t: Tables):
+    """Twenty trees of depth five learn a step of the line number exactly."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = regression.assemble(_step_lines(t), ["x", "noise"])
+    scored = regression.score(regression.fit_boosted_trees(rows), rows)
+    x = vector_to_array("features")[0].alias("x")
+    return scored.groupBy(x).agg(
+        F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("prediction") - F.col("label"))) < 1e-6).alias("learned")
+    )
+
+
+def _step_lines(t: Tables):
+    """The target is a step of x alone; noise has one value."""
+    x = F.col("l_linenumber").cast("double")
+    return t.raw("lineitem").select(
+        F.col("l_shipdate").alias("timestamp"), x.alias("x"), F.lit(1.0).alias("noise"),
+        F.when(x > 3, 100.0).otherwise(-100.0).alias("y"),
+    )
+
+
+@check(
+    "x10_importance_of_step_target",
+    "SELECT 'x' AS feature, CAST(1 AS DOUBLE) AS importance UNION ALL SELECT 'noise', CAST(0 AS DOUBLE)",
+)
+def _(t: Tables):
+    rows = regression.assemble(_step_lines(t), ["x", "noise"])
+    return rounded(regression.feature_importance(regression.fit_boosted_trees(rows), ["x", "noise"], rows), 6)
+
+
+@check(
+    "x11_saved_trees_score_alike",
+    STUMP + """SELECT "timestamp", label, true AS alike FROM
+               (SELECT l_shipdate AS "timestamp", y AS label FROM r, p WHERE l_shipdate >= p.cut)""",
+)
+def _(t: Tables):
+    train, test = regression.split_by_time(regression.assemble(binary_lines(t), ["x"]))
+    model, path = regression.fit_boosted_trees(train), scratch_path(t.spark, "model")
+    regression.save_model(model, path)
+    both = regression.score(regression.load_boosted_trees(path), regression.score(model, test, "kept"), "loaded")
+    return both.select("timestamp", "label", (F.col("kept") == F.col("loaded")).alias("alike"))
+
+
+def _importances_hold(rows: list[dict], t: Tables) -> bool:
+    shares = [r["importance"] for r in rows]
+    return (
+        {r["feature"] for r in rows} == set(X_FEATURES)
+        and abs(sum(shares) - 1) < 1e-4 and min(shares) >= 0 and shares == sorted(shares, reverse=True)
+    )
 
 
-@check("x10_feature_importance")
+@check("x10_feature_importance", holds=_importances_hold)
 def _(t: Tables):
     train, _ = _stored_training_rows(t)
-    model = regression.fit_boosted_trees(train, max_iter=3, max_depth=3)
-    return rounded(regression.feature_importance(model, X_FEATURES, train), 6)
+    return rounded(regression.feature_importance(regression.fit_boosted_trees(train), X_FEATURES, train), 6)

@@ -276,10 +276,13 @@ def _(t: Tables):
     return t.metadata.select("unique_id", scalars.label_or(F.col("location"), "__MISSING__").alias("location"))
 
 
-@check("e08_numeric_coercion", "SELECT conv_id, turn, try_cast(split_part(text, ' ', 1) AS DOUBLE) AS number FROM conversations")
+@check(
+    "e08_numeric_coercion",
+    """SELECT conv_id, turn, try_cast(unnest(string_split(text, ' ')) AS DOUBLE) AS number FROM conversations""",
+)
 def _(t: Tables):
-    first = F.split_part("text", F.lit(" "), F.lit(1))
-    return t.raw("conversations").select("conv_id", "turn", scalars.to_number(first).alias("number"))
+    words = t.raw("conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("word"))
+    return words.select("conv_id", "turn", scalars.to_number(F.col("word")).alias("number"))
 
 
 @check(

@@ -65,6 +65,7 @@ def range_alignment(
         compare_ranges(d, w, key)
         .withColumns({"starts_early_seconds": early, "ends_late_seconds": late})
         .withColumn("issues", issues)
+        .orderBy(F.col(key).asc_nulls_last())
     )
 
 

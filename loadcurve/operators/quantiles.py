@@ -75,11 +75,17 @@ def _brackets(
         .select(*groups, "__i", "__pos", "__rank", "__c", "__lo", "__hi", F.col("__after").alias("__next"))
     )
     for _ in range(rounds - 1):
+        limits = [
+            F.max(F.when(F.col("__i") == i, F.col(c))).alias(f"{c}{i}")
+            for i in range(len(probabilities)) for c in ("__lo", "__hi")
+        ]
         targets = found.groupBy(*groups).agg(
-            F.collect_list(F.struct("__i", "__pos", "__rank", "__next", "__lo", "__hi")).alias("__t")
+            F.collect_list(F.struct("__i", "__pos", "__rank", "__next", "__lo", "__hi")).alias("__t"), *limits
         )
         placed = attach(clean, targets, groups, "inner", spread_by=["__v"], null_safe=True, small=few_groups)
-        hits = placed.select(
+        # most values are in no bracket; plain comparisons drop them before the ranks are told apart
+        near = " or ".join(f"__v between __lo{i} and __hi{i}" for i in range(len(probabilities)))
+        hits = placed.filter(near).select(
             *groups, "__v", "__w",
             F.expr("inline(filter(__t, t -> __v >= t.__lo and __v <= t.__hi))").alias("__i", "__pos", "__rank", "__next", "__lo", "__hi"),
         )
