@@ -48,9 +48,9 @@ HEADLINE = {
     "x04_demand_weather_correlation": "lineitem",
     "x08_scored_test_rows": "lineitem",
     "x09_error_metrics": "lineitem",
-    "x07_boosted_trees": "lineitem",
-    "q1_merged_table": "lineitem",
-    "q2_feature_table": "lineitem",
+    "x07_boosted_trees": "orders",
+    "q1_merged_table": "orders",
+    "q2_feature_table": "orders",
 }
 
 

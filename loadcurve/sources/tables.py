@@ -91,9 +91,9 @@ def table_profile(tables: dict[str, DataFrame], partitions: bool = False) -> Dat
 
     ``partitions`` adds how many partitions hold rows; it depends on files and session, not on the data.
     """
-    parts = [F.count_distinct(F.spark_partition_id()).alias("n_partitions")] if partitions else []
+    parts = [F.count_distinct("__part").alias("n_partitions")] if partitions else []
     rows = [
-        df.agg(F.count(F.lit(1)).alias("n_rows"), *parts).select(
+        (df.withColumn("__part", F.spark_partition_id()) if partitions else df).agg(F.count(F.lit(1)).alias("n_rows"), *parts).select(
             F.lit(name).alias("table"), "n_rows", F.lit(len(df.columns)).alias("n_cols"), *["n_partitions"] * partitions
         )
         for name, df in tables.items()

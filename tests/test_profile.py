@@ -170,3 +170,10 @@ def test_profiles_return_a_schema_on_empty_input(frame):
         timeseries.completeness(empty, "unique_id"), timeseries.intervals(empty), timeseries.resample(empty),
     ):
         assert report.columns and report.count() <= 3
+
+
+def test_boxplot_keeps_named_categories_in_order(frame):
+    rows = [(c, float(v)) for c in "abc" for v in (1, 2, 2, 3, 40)] + [(None, 5.0), ("a", None)]
+    boxes = profile.boxplot_stats(frame(rows, "c string, y double"), "c", "y", category_order=["c", "a"]).collect()
+    assert [(b.c, b.scale) for b in boxes] == [("c", "original"), ("c", "log1p"), ("a", "original"), ("a", "log1p")]
+    assert (boxes[0]["count"], boxes[0].q50, boxes[0].n_outliers, boxes[0].whisker_high) == (5, 2.0, 1, 3.0)

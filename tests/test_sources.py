@@ -90,6 +90,8 @@ def test_millisecond_rewrite_refuses_to_lose_precision(frame, spark, tmp_path):
 def test_table_profile(frame):
     df = frame([("a", at(0), 1.0), ("b", at(0), None)], READING)
     assert [tuple(r) for r in tables.table_profile({"t": df, "e": df.limit(0)}).collect()] == [("t", 2, 3), ("e", 0, 3)]
+    spread = tables.table_profile({"t": df.repartition(2).limit(1)}, partitions=True).first()
+    assert (spread.n_rows, spread.n_partitions) == (1, 1)
     assert tables.preview(df, 1).count() == 1
 
 
