@@ -219,14 +219,16 @@ def near_duplicate_components(
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its near-duplicate group; columns unchanged.
+    """One row of ``docs`` for each near-duplicate group; columns unchanged.
 
-    Of rows that repeat an id one stays (the smallest by the remaining columns).  Rows without id
-    stay only where their whole group has none.
+    It is the row of the smallest id; rows without id come last, so a group without any id keeps one
+    too.  Among rows of that id the smallest SHA-256 of the text decides, then the remaining columns.
     """
-    groups = near_duplicate_components(docs, id_col, text_col)
-    chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rest = [c for c in docs.columns if c != id_col]
-    kept = docs.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
-    one = kept.groupBy(F.col(f"`{id_col}`")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("__row"))
-    return one.select(*(F.col(f"`{id_col}`") if c == id_col else F.col("__row").getField(c).alias(c) for c in docs.columns))
+    doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)  # a null text is an empty one, as in the fingerprint
+    key = F.struct(doc.isNull().alias("lacks_id"), doc.alias("id"), digest.alias("digest")).alias("key")
+    groups = near_duplicate_components(docs.select(key, text.alias("text")), "key", "text")
+    chosen = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
+    rows = docs.select(key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    one = rows.join(chosen, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    return one.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -104,6 +104,16 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in plain_components(rows)})
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join(rng.choice("abcdefghijklmnopq") * 3 for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c), (4, c), (7, d), (7, e), (7, e), (None, None), (9, f), (8, f)]
+    kept = keep_one_of_each_group(spark.createDataFrame([(t, i, 5) for i, t in rows], "text string, doc_id long, key int"))
+    expected = [(None, a), (None, b), (4, c), (7, d), (7, e), (None, None), (8, f)]
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted(expected, key=repr)
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)]])
 def test_empty_tables(spark, rows):
     got = near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
