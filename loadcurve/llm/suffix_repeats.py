@@ -17,7 +17,8 @@ document's are known by their SHA-256 and never sorted.
 
 Defined results: a null text counts as empty; texts under ``length`` bytes lose nothing; rows that
 share an id (or have none) count as one document whose texts all start at 0, so repeated rows do not
-remove each other; rows without id come first; ids must be whole numbers.
+remove each other, while each text is cut at its own spans only; rows without id come first; ids must
+be whole numbers.
 """
 
 from __future__ import annotations
@@ -154,24 +155,26 @@ class Run:
     """Suffix records of one task; sorted, settled among themselves and front-coded per piece."""
 
     def __init__(self):
-        self.pieces: dict[int, list[tuple[bytes, bytes, int, int, int, int]]] = {}
+        self.pieces: dict[int, list[tuple[bytes, bytes, int, int, int, int, int, int]]] = {}
         self.size = 0
 
-    def add(self, piece: int, suffix: bytes, left: bytes, low: int, high: int, doc: int, at: int) -> None:
-        self.pieces.setdefault(piece, []).append((suffix, left, low, high, doc, at))
+    def add(self, piece: int, suffix: bytes, left: bytes, low: int, high: int, doc: int, at: int, key: int, text: int) -> None:
+        self.pieces.setdefault(piece, []).append((suffix, left, low, high, doc, at, key, text))
         self.size += len(suffix) + len(left) + 100
 
-    def coded(self, length: int) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
+    def coded(self, length: int) -> Iterator[tuple[int, bytes, list[tuple[int, int, int, int]]]]:
         """(piece, payload, spans removed already) for each piece."""
         for piece, records in self.pieces.items():
             records.sort()
             kept, spans = [], []
             for record in records:
                 if kept and record[:4] == kept[-1][:4]:
-                    if record[4:] != kept[-1][4:]:
-                        _, left, low, high, doc, at = record
-                        spans.append((doc, at - high, at - low + length))
-                    continue
+                    if record[4:6] != kept[-1][4:6]:
+                        _, left, low, high, _, at, key, text = record
+                        spans.append((key, text, at - high, at - low + length))
+                        continue
+                    if record == kept[-1]:
+                        continue  # else another text of the same id: neither comes first
                 kept.append(record)
             suffixes = [r[0] for r in kept]
             shared = [0] + [common_prefix(a, b) for a, b in zip(suffixes, suffixes[1:])]
@@ -182,8 +185,8 @@ class Run:
 
 def _decoded(payload: bytes) -> tuple[np.ndarray, list[bytes], list[bytes]]:
     n = int(np.frombuffer(payload, np.int64, 1)[0])
-    numbers = np.frombuffer(payload, np.int64, 7 * n, 8).reshape(n, 7)
-    at, suffixes, lefts, before = 8 + 56 * n, [], [], b""
+    numbers = np.frombuffer(payload, np.int64, 9 * n, 8).reshape(n, 9)
+    at, suffixes, lefts, before = 8 + 72 * n, [], [], b""
     for shared, size in numbers[:, :2].tolist():
         before = before[:shared] + payload[at : at + size]
         suffixes.append(before)
@@ -194,8 +197,8 @@ def _decoded(payload: bytes) -> tuple[np.ndarray, list[bytes], list[bytes]]:
     return numbers, suffixes, lefts
 
 
-def repeated_windows(payloads: Sequence[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the windows of one piece that an earlier window equals."""
+def repeated_windows(payloads: Sequence[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, start) of the windows of one piece that an earlier window equals."""
     decoded = [_decoded(p) for p in payloads]
     order, prefixes = merge_runs([(numbers[:, 0].tolist(), suffixes) for numbers, suffixes, _ in decoded])
     n = len(order)
@@ -204,6 +207,7 @@ def repeated_windows(payloads: Sequence[bytes], length: int = LENGTH) -> tuple[n
     numbers = np.concatenate([d[0] for d in decoded])[picked_rows]
     lefts = [decoded[r][2][i][::-1] for r, i in order]
     low, high, doc, at = numbers[:, 3], numbers[:, 4], numbers[:, 5], numbers[:, 6]
+    text_key, text_digest = numbers[:, 7], numbers[:, 8]
     right = np.array(prefixes, np.int64)
     by_left = sorted(range(n), key=lefts.__getitem__)
     shared = np.array([0] + [common_prefix(lefts[a], lefts[b]) for a, b in zip(by_left, by_left[1:])], np.int64)
@@ -213,7 +217,7 @@ def repeated_windows(payloads: Sequence[bytes], length: int = LENGTH) -> tuple[n
     fresh = np.r_[True, (doc[sequence][1:] != doc[sequence][:-1]) | (at[sequence][1:] != at[sequence][:-1])]
     rank = np.empty(n, np.int64)
     rank[sequence] = np.cumsum(fresh)
-    docs, begins = [], []
+    keys, texts, begins = [], [], []
     for offset in range(int(low.min()), int(high.max()) + 1):
         member = np.flatnonzero((low <= offset) & (offset <= high))
         if len(member) < 2:
@@ -227,64 +231,78 @@ def repeated_windows(payloads: Sequence[bytes], length: int = LENGTH) -> tuple[n
         first = np.r_[True, key[1:] != key[:-1]]
         lowest = rank[member[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]]
         again = member[rank[member] > lowest]
-        docs.append(doc[again])
+        keys.append(text_key[again])
+        texts.append(text_digest[again])
         begins.append(at[again] - offset)
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(docs), np.concatenate(begins)
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(texts), np.concatenate(begins)
+
+
+def union_of_windows(
+    key: np.ndarray, text: np.ndarray, begin: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, start, stop): maximal spans covered by windows of ``length`` bytes."""
+    order = np.lexsort((begin, text, key))
+    key, text, begin = key[order], text[order], begin[order]
+    other = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    cut = np.flatnonzero(np.r_[True, other | (begin[1:] - begin[:-1] > length)]) if len(key) else np.zeros(0, np.int64)
+    last = np.r_[cut[1:] - 1, len(key) - 1] if len(key) else cut
+    return key[cut], text[cut], begin[cut], begin[last] + length
 
 
-def union_of_windows(doc: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal spans covered by windows of ``length`` bytes."""
-    order = np.lexsort((begin, doc))
-    doc, begin = doc[order], begin[order]
-    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (begin[1:] - begin[:-1] > length)]) if len(doc) else np.zeros(0, np.int64)
-    last = np.r_[cut[1:] - 1, len(doc) - 1] if len(doc) else cut
-    return doc[cut], begin[cut], begin[last] + length
+def _digest(data: bytes) -> int:
+    """First 64 bits of the SHA-256, signed; together with the key they tell the texts of an id apart."""
+    return int.from_bytes(hashlib.sha256(data).digest()[:8], "little", signed=True)
 
 
 def _with_leads(docs: DataFrame, id_col: str, text_col: str, row: bool = False) -> DataFrame:
-    """(doc_id, text, lead): lead is false if a smaller id has the same text; with ``row`` the whole row too.
+    """(key, doc_id, text, lead): lead is false if a smaller id has the same text; with ``row`` the whole row too.
 
-    Only ids and digests are shuffled to find copies; texts are shuffled once, by id, and every later
-    step joins on the same key.
+    The key is a hash of id and text.  Only keys, ids and digests are shuffled to find copies; texts
+    are shuffled once, by key, and every later step joins on the same key.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if row else []
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *whole)
     rest = ["row"] if row else []
     source = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), *rest)
-    marks = source.select("doc_id", F.sha2("text", 256).alias("digest"))
+    digest = F.sha2("text", 256)
+    source = source.select(F.xxhash64("doc_id", digest).alias("key"), "doc_id", "text", *rest)
+    marks = source.select("key", "doc_id", digest.alias("digest"))
     first = marks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     copies = marks.join(first.filter("first < last"), "digest").filter("doc_id > first")
-    copied = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))  # one, unless rows share an id
-    joined = source.join(copied, "doc_id", "left")
+    copied = copies.groupBy("key").agg(F.collect_set("digest").alias("copied"))  # one, unless hashes collide
+    joined = source.join(copied, "key", "left")
     lead = F.col("copied").isNull() | ~F.array_contains("copied", F.sha2("text", 256))
-    return joined.select("doc_id", "text", F.coalesce(lead, F.lit(True)).alias("lead"), *rest)
+    return joined.select("key", "doc_id", "text", F.coalesce(lead, F.lit(True)).alias("lead"), *rest)
 
 
 def removed_spans(leads: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, pieces: int | None = None) -> DataFrame:
-    """(doc_id, spans): sorted, maybe overlapping [start, stop) byte spans of lead documents to remove."""
+    """(key, spans): sorted, maybe overlapping (start, stop, text) byte spans of lead texts to remove.
+
+    ``text`` is the digest of the text that a span belongs to.
+    """
     pieces = pieces or int(leads.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    texts = leads.filter("lead").select("doc_id", "text")
+    texts = leads.filter("lead").select("key", "doc_id", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, counts = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            owners, keys, counts = [], [], []
+            for owner, text in zip(batch.column(0).to_pylist(), batch.column(2)):
                 _, hashes, _, _ = anchors(text.as_py().encode(), length, gram)
                 key, n = np.unique(hashes, return_counts=True)
-                ids.append(np.full(len(key), doc, np.int64))
+                owners.append(np.full(len(key), owner, np.int64))
                 keys.append(key)
                 counts.append(n)
-            if ids:
-                arrays = [pa.array(np.concatenate(x), pa.int64()) for x in (keys, ids, counts)]
-                yield pa.RecordBatch.from_arrays(arrays, ["gram", "doc_id", "n"])
+            if owners:
+                arrays = [pa.array(np.concatenate(x), pa.int64()) for x in (keys, owners, counts)]
+                yield pa.RecordBatch.from_arrays(arrays, ["gram", "key", "n"])
 
-    every = texts.mapInArrow(grams, "gram long, doc_id long, n long")
+    every = texts.mapInArrow(grams, "gram long, key long, n long")
     total = F.expr("sum(n) OVER (PARTITION BY gram)")
-    shared = every.withColumn("total", total).filter("total > 1").select("doc_id", F.struct("gram", (F.col("total") > hot).alias("hot")).alias("g"))
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("g").alias("grams"))
+    shared = every.withColumn("total", total).filter("total > 1").select("key", F.struct("gram", (F.col("total") > hot).alias("hot")).alias("g"))
+    wanted = shared.groupBy("key").agg(F.collect_list("g").alias("grams"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = Run()
@@ -295,8 +313,9 @@ def removed_spans(leads: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([payload], pa.binary()), flat], ["piece", "payload", "settled"])
 
         for batch in batches:
-            for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for key, doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 data = text.as_py().encode()
+                digest = _digest(data)
                 place, hashes, first, last = anchors(data, length, gram)
                 known = found.values.field(0).to_numpy()
                 crowded = known[found.values.field(1).to_numpy(zero_copy_only=False)]
@@ -307,29 +326,39 @@ def removed_spans(leads: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 rows = zip(place[chosen].tolist(), dealt[chosen].tolist(), first[chosen].tolist(), last[chosen].tolist(), busy[chosen].tolist())
                 for a, piece, p0, p1, split in rows:
                     if not split:
-                        run.add(piece, data[a : p1 + length], data[p0:a], a - p1, a - p0, doc, a)
+                        run.add(piece, data[a : p1 + length], data[p0:a], a - p1, a - p0, doc, a, key, digest)
                         continue
                     for p in range(p0, p1 + 1):
                         window = data[p : p + length]
                         dealt_by = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little")
-                        run.add(dealt_by % pieces, window, b"", 0, 0, doc, p)
+                        run.add(dealt_by % pieces, window, b"", 0, 0, doc, p, key, digest)
                 if run.size > RUN_BYTES:
                     yield from flushed()
                     run = Run()
         yield from flushed()
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
-        doc, begin = repeated_windows(list(frame["payload"]), length)
-        doc, start, stop = union_of_windows(doc, begin, length)
-        settled = [np.asarray(s, np.int64).reshape(-1, 3) for s in frame["settled"] if len(s)]
+        key, text, begin = repeated_windows(list(frame["payload"]), length)
+        columns = union_of_windows(key, text, begin, length)
+        settled = [np.asarray(s, np.int64).reshape(-1, 4) for s in frame["settled"] if len(s)]
         if settled:
             more = np.concatenate(settled)
-            doc, start, stop = (np.r_[x, more[:, k]] for k, x in enumerate((doc, start, stop)))
-        return pd.DataFrame({"doc_id": doc, "start": start, "stop": stop})
+            columns = tuple(np.r_[x, more[:, k]] for k, x in enumerate(columns))
+        return pd.DataFrame(dict(zip(("key", "text", "start", "stop"), columns)))
 
-    runs = texts.join(wanted, "doc_id").select("doc_id", "text", "grams").mapInArrow(records, "piece int, payload binary, settled array<bigint>")
-    spans = runs.groupBy("piece").applyInPandas(merged, "doc_id long, start long, stop long")
-    return spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    runs = texts.join(wanted, "key").select("key", "doc_id", "text", "grams").mapInArrow(records, "piece int, payload binary, settled array<bigint>")
+    spans = runs.groupBy("piece").applyInPandas(merged, "key long, text long, start long, stop long")
+    return spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "text"))).alias("spans"))
+
+
+def _cuts(data: bytes, lead: bool, spans: pa.Scalar, length: int) -> list[tuple[int, int]]:
+    """Spans to cut out of a text, sorted by start."""
+    if not lead:
+        return [(0, len(data))] if len(data) >= length else []
+    if not spans.is_valid:
+        return []
+    digest = _digest(data)
+    return [(s["start"], s["stop"]) for s in spans.as_py() if s["text"] == digest]
 
 
 def _kept(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -359,20 +388,15 @@ def without_repeats(
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept are the remaining bytes of each row's text."""
     leads = _with_leads(docs, id_col, text_col)
     spans = removed_spans(leads, length, gram, hot, pieces)
-    joined = leads.join(spans, "doc_id", "left").select("doc_id", "text", "lead", "spans")
+    joined = leads.join(spans, "key", "left").select("doc_id", "text", "lead", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, text, lead, spans in zip(*(batch.column(k) for k in range(4))):
-                data, cuts = text.as_py().encode(), []
-                if not lead.as_py():
-                    cuts = [(0, len(data))] if len(data) >= length else []
-                elif spans.is_valid:
-                    # texts that share an id may be shorter than a span of another one
-                    cuts = [(s["start"], min(s["stop"], len(data))) for s in spans.as_py() if s["start"] < len(data)]
-                rest, removed, runs = _kept(data, cuts)
+                data = text.as_py().encode()
+                rest, removed, runs = _kept(data, _cuts(data, lead.as_py(), spans, length))
                 doc = doc.as_py()
                 out.append((None if doc == NO_ID else doc, len(data), removed, runs, rest))
             values = list(zip(*out)) or [()] * 5
@@ -392,18 +416,14 @@ def texts_without_repeats(
     """
     spans = removed_spans(_with_leads(docs, id_col, text_col), **options)
     length = options.get("length", LENGTH)
-    rows = _with_leads(docs, id_col, text_col, row=True).join(spans, "doc_id", "left").select("lead", "spans", "text", "row")
+    rows = _with_leads(docs, id_col, text_col, row=True).join(spans, "key", "left").select("lead", "spans", "text", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for lead, spans, text in zip(*(batch.column(k) for k in range(3))):
-                data, cuts = text.as_py().encode(), []
-                if not lead.as_py():
-                    cuts = [(0, len(data))] if len(data) >= length else []
-                elif spans.is_valid:
-                    cuts = [(s["start"], min(s["stop"], len(data))) for s in spans.as_py() if s["start"] < len(data)]
-                texts.append(_kept(data, cuts)[0].decode("utf-8", "ignore"))
+                data = text.as_py().encode()
+                texts.append(_kept(data, _cuts(data, lead.as_py(), spans, length))[0].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(3)], ["kept", "row"])
 
     cut = rows.mapInArrow(run, f"kept string, row {rows.schema['row'].dataType.simpleString()}")

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from loadcurve.llm import suffix_repeats
-from loadcurve.llm.suffix_repeats import common_prefix, merge_runs, repeat_report
+from loadcurve.llm.suffix_repeats import common_prefix, merge_runs, repeat_report, texts_without_repeats
 
 
 def plain(rows, length):
@@ -69,6 +69,20 @@ def test_ids_that_repeat_or_lack(spark):
     assert got == plain(rows, 100)
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_texts_of_one_id_are_cut_at_their_own_spans(spark, hot):
+    rng = random.Random(13)
+    text = lambda n: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(n))
+    p, q = text(60), text(60)
+    rows = [(1, p), (5, p + text(40)), (5, text(90)), (5, q + text(30)), (5, q + text(10)), (6, "x" + q)]
+    rows += [(None, q + text(20)), (None, q + text(25)), (None, text(80)), (None, text(9) + q + q), (None, None)]
+    got = sorted(map(tuple, repeat_report(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()), key=repr)
+    assert got == plain(rows, 100)
+    left = texts_without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {hashlib.sha256((r.text or "").encode()).hexdigest() for r in left}
+    assert kept == {sha for *_, sha in plain(rows, 100)}
+
+
 def test_empty_table(spark):
     assert repeat_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
