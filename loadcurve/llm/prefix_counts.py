@@ -115,6 +115,21 @@ class PrefixCounter:
         return [counts[at] for at in accumulate(len(c.encode()) for c in word)]
 
     def at_every_prefix(self, text: str) -> list[int]:
+        """The count of text[:k] for k = 0 ... len(text).
+
+        A special string is ordinary text, joined to what stands before it, until its last character.
+        """
+        counts, at = [0], 0
+        for found in self.special.finditer(text) if self.special else ():
+            part, base = text[at : found.end() - 1], counts[-1]
+            each = self.at_every_prefix(part) if self.special.search(part) else self._ordinary(part)
+            counts += [base + n for n in each[1:]]
+            counts.append(base + each[found.start() - at] + 1)
+            at = found.end()
+        base = counts[-1]
+        return counts + [base + n for n in self._ordinary(text[at:])[1:]]
+
+    def _ordinary(self, text: str) -> list[int]:
         """The count of text[:k] for k = 0 ... len(text), for texts without special strings."""
         counts, base = [0], 0
         for run in re.finditer(f"[{WHITE}]+|[^{WHITE}]+", text):

@@ -41,6 +41,15 @@ def test_special_strings_count_once():
     assert counter(PATH).total(text) == len(library().encode(text, add_special_tokens=False).ids)
 
 
+def test_every_prefix_with_special_strings():
+    exact, lib, special = counter(PATH), library(), "<|endoftext|>"
+    for text in (special, f"a {special}  b{special}", f"it's!{special}{special} x", f"\n {special[:-1]} {special}\n\ny {special[:5]}", f"é  {special}s"):
+        want = [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert exact.at_every_prefix(text) == want, text
+        for budget in range(want[-1] + 1):
+            assert exact.cut(text, budget) == max(k for k, n in enumerate(want) if n <= budget)
+
+
 def test_counts_of_table(spark):
     rows = [(1, None), (2, ""), (2, "two rows"), (None, "no id"), (5, "word " * 20_000)] + [(10 + i, t) for i, t in enumerate(HARD)]
     docs = spark.createDataFrame([(d, t, 0, True) for d, t in rows], "doc_id long, text string, n_tokens int, over_limit boolean")
