@@ -42,6 +42,8 @@ HOT = 20_000
 HASHED_AT_ONCE = 1 << 19
 RUN_BYTES = 48 << 20
 NO_ID = -(1 << 63)
+# Parts into which the rows of a k-gram beyond ``hot`` occurrences are dealt to learn that it is shared.
+SALTS = 64
 
 
 @lru_cache(maxsize=1)
@@ -278,6 +280,21 @@ def _with_leads(docs: DataFrame, id_col: str, text_col: str, row: bool = False)
     return joined.select("key", "doc_id", "text", F.coalesce(lead, F.lit(True)).alias("lead"), *rest)
 
 
+def shared_grams(every: DataFrame, hot: int) -> DataFrame:
+    """(gram, key, hot): rows (gram, key, n) whose gram occurs more than once in all; hot beyond ``hot`` times.
+
+    Counts are combined before the shuffle.  Rows of a hot gram are dealt to ``SALTS`` parts; hot
+    grams are broadcast, at most one for every ``hot`` anchors of the corpus.
+    """
+    totals = every.groupBy("gram").agg(F.sum("n").alias("total")).filter("total > 1")
+    totals = totals.select("gram", (F.col("total") > hot).alias("hot"))
+    crowded = totals.filter("hot").select("gram", F.lit(SALTS).alias("parts"))
+    dealt = every.select("gram", "key").join(F.broadcast(crowded), "gram", "left")
+    dealt = dealt.select("gram", "key", F.expr("pmod(xxhash64(key), coalesce(parts, 1))").cast("int").alias("salt"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(totals.select("gram", "hot", F.explode(salts).alias("salt")), ["gram", "salt"]).select("gram", "key", "hot")
+
+
 def removed_spans(leads: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, pieces: int | None = None) -> DataFrame:
     """(key, spans): sorted, maybe overlapping (start, stop, text) byte spans of lead texts to remove.
 
@@ -300,8 +317,7 @@ def removed_spans(leads: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 yield pa.RecordBatch.from_arrays(arrays, ["gram", "key", "n"])
 
     every = texts.mapInArrow(grams, "gram long, key long, n long")
-    total = F.expr("sum(n) OVER (PARTITION BY gram)")
-    shared = every.withColumn("total", total).filter("total > 1").select("key", F.struct("gram", (F.col("total") > hot).alias("hot")).alias("g"))
+    shared = shared_grams(every, hot).select("key", F.struct("gram", "hot").alias("g"))
     wanted = shared.groupBy("key").agg(F.collect_list("g").alias("grams"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

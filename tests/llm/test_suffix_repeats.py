@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loadcurve.llm import suffix_repeats
 from loadcurve.llm.suffix_repeats import common_prefix, merge_runs, repeat_report, texts_without_repeats
@@ -83,6 +84,14 @@ def test_texts_of_one_id_are_cut_at_their_own_spans(spark, hot):
     assert kept == {sha for *_, sha in plain(rows, 100)}
 
 
+def test_rows_of_a_hot_gram_are_dealt_to_many_tasks(spark):
+    rows = [(7, k, 1) for k in range(2000)] + [(8, 1, 1), (9, 1, 2), (10, 1, 1), (10, 2, 1)]
+    every = spark.createDataFrame(rows, "gram long, key long, n long")
+    shared = suffix_repeats.shared_grams(every, 100)
+    assert sorted(map(tuple, shared.collect())) == sorted((g, k, g == 7) for g, k, _ in rows if g != 8)
+    assert shared.filter("gram = 7").select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_empty_table(spark):
     assert repeat_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
