@@ -2,7 +2,7 @@
 
 Events of the standard library's streaming parser are cut into lines, one per block element.  The
 text-to-tag ratio of the lines is smoothed by a Gaussian and split into two clusters; regions of the
-page (an article or main element, else the element around a line) that hold a line of the upper
+page (an article or main element, else the container around a line) that hold a line of the upper
 cluster are content.  All lines of such a region are returned, short ones too, except those inside
 elements that are boilerplate by name, role or class.
 
@@ -29,6 +29,8 @@ BLOCKS = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot "
     "th thead title tr ul".split()
 )
+# Elements that open a region; headings, lists, quotes and tables lie in the region of their container.
+CONTAINERS = frozenset("html body center div section".split())
 FURNITURE = frozenset(
     "applet aside audio button canvas datalist dialog embed footer form head iframe menu nav noscript object script "
     "select style svg template textarea title video".split()
@@ -96,7 +98,7 @@ class Lines(HTMLParser):
         self.elements += 1
         _, furniture, region, in_article = self.open[-1]
         article = tag in ("article", "main") or ("role", "main") in attrs
-        if not in_article and (article or tag in BLOCKS and tag not in ENDS):
+        if not in_article and (article or tag in CONTAINERS):
             region = self.elements
         self.open.append((tag, furniture or is_furniture(tag, attrs, in_article), region, in_article or article))
 

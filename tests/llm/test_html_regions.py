@@ -35,6 +35,17 @@ def test_without_article_element():
     assert main_text(page(inner)) == f"{BODY}\nShort.\n{BODY}"
 
 
+def test_short_blocks_share_the_region_of_their_container():
+    inner = (
+        f"<div class='story'><h2>Why</h2><ul><li>One</li><li>Two</li></ul><p>{BODY * 3}</p><p>{BODY * 3}</p><h3>Then</h3>"
+        f"<p>{BODY * 3}</p><table><tr><td>1</td><td>2</td></tr></table><blockquote>So it is.</blockquote><ul><li>End</li></ul></div>"
+    )
+    lines = ["Why", "One", "Two", BODY * 3, BODY * 3, "Then", BODY * 3, "1", "2", "So it is.", "End"]
+    assert main_text(page(inner)) == "\n".join(lines)
+    aside = "<div><a href='x'>one</a> <a href='y'>two</a></div>"
+    assert main_text(page(aside + inner + aside)) == "\n".join(lines)
+
+
 def test_broken_and_empty_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<nav>only menu</nav>"), (4, "u", "plain &lt;text&gt;"), (5, "u", "<p>a<div>b</p></article>c"),
             (5, "u", "<article><p>" + "very long " * 200_000)]
