@@ -5,7 +5,8 @@ rows move on.  They are dealt into parts of a bounded number of rows, each part
 decreasing, and lower bounds from dual feasible functions over the part's length histogram certify
 its bin count.  While the whole misses the bound of the whole histogram, parts with gaps give up all
 bins that have room, certified parts their loosest one; these documents are dealt out anew together
-and packed again, and the better packing stays.
+and packed again, and the better packing stays.  The exchange ends after ``rounds`` turns at the latest, or
+when a turn saves no bin; every piece is packed either way.
 
 Defined results: a null or empty text is one piece that holds the end token alone; repeated rows are
 packed each for itself; an empty table gives an empty packing.
@@ -35,6 +36,9 @@ PART_ROWS = 50_000
 ROUNDS = 6
 # Chunks and words remembered per worker, in each of two generations; 100,000 take some 25 MB.
 REMEMBERED = 300_000
+# Unknown words given to the library as one string, and characters of text learned from together.
+JOINED = 2_000
+BLOCK = 4_000_000
 # The vocabulary's split pattern, for chunks without white space.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Texts whose characters are all in these ranges are cut at white space before they are encoded;
@@ -48,7 +52,7 @@ class ChunkEncoder:
     The split pattern never crosses white space, so a text's ids are those of its chunks one after
     another, and a chunk's those of its words.  The library encodes words; they and chunks are remembered
     in two generations of about ``most`` entries: what is used again moves to the recent one, and a full
-    recent one replaces the older one.
+    recent one replaces the older one.  Words of many texts go to the library as one string.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
@@ -58,9 +62,23 @@ class ChunkEncoder:
         self.older: dict[str, bytes] = {}
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word.  Words go to the library joined by spaces, which it drops, and come back by word number."""
+        found = []
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, number = np.array(encoded.ids, "<u4").tobytes(), encoded.word_ids
+            starts = [i for i, n in enumerate(number) if not i or n != number[i - 1]]
+            if len(starts) == len(some):
+                ends = starts[1:] + [len(number)]
+                found += [ids[4 * a : 4 * b] for a, b in zip(starts, ends)]
+            else:  # the library cuts one of them further, or drops it
+                found += map(self._library, some)
+        return found
 
     def _unknown(self, keys: set[str]) -> list[str]:
         """Keys of neither generation; those of the older one move to the recent one."""
@@ -69,23 +87,41 @@ class ChunkEncoder:
         return [k for k in missing if k not in older]
 
     def _learn(self, chunks: list[str]) -> None:
-        split = {c: WORDS.findall(c) for c in chunks}
+        # most chunks are letters alone, or letters and one mark behind them
+        split = {
+            c: [c] if c.isalpha() else [c[:-1], c[-1]] if c[:-1].isalpha() and not c[-1].isalnum() else WORDS.findall(c) for c in chunks
+        }
         missing = self._unknown({w for words in split.values() for w in words})
-        if missing:
-            self.recent.update(zip(missing, self._library(missing)))
+        self.recent.update(zip(missing, self._words(missing)))
         ids = self.recent
-        ids.update([(c, b"".join([ids[w] for w in split[c]])) for c in chunks])
+        # a chunk that is its own only word is there already
+        ids.update([(c, b"".join([ids[w] for w in words])) for c, words in split.items() if len(words) != 1 or words[0] != c])
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; the unknown chunks of all of them are learned together, some megabytes of text at a time."""
+        at = 0
+        while at < len(texts):
+            block, size = [], 0
+            while at < len(texts) and (not block or size < BLOCK):
+                block.append(self._chunks(texts[at]))
+                size += len(texts[at])
+                at += 1
+            if len(self.recent) >= self.most:
+                self.older, self.recent = self.recent, {}
+            missing = self._unknown(set().union(*(c for c in block if isinstance(c, list))))
+            if missing:
+                self._learn(missing)
+            known = self.recent.__getitem__
+            yield from (b"".join(map(known, c)) if isinstance(c, list) else self._library(c) for c in block)
+
+    def _chunks(self, text: str) -> list[str] | str:
+        """The text cut at white space, or the text itself where it has to be encoded whole."""
+        if SIMPLE.search(text) or self.special.search(text):
+            return text
+        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
 
     def encode(self, text: str) -> bytes:
-        if SIMPLE.search(text) or self.special.search(text):
-            return self._library([text])[0]
-        if len(self.recent) >= self.most:
-            self.older, self.recent = self.recent, {}
-        chunks = unicodedata.normalize("NFC", text).lower().split()
-        missing = self._unknown(set(chunks))
-        if missing:
-            self._learn(missing)
-        return b"".join(map(self.recent.__getitem__, chunks))
+        return next(self.encode_all([text]))
 
 
 @lru_cache(maxsize=2)
@@ -100,11 +136,11 @@ def pieces(
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(vocabulary).encode_all, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = memoryview(encode(text.as_py() or "") + end)
+            for i, ids in enumerate(encode([text or "" for text in batch.column(1).to_pylist()])):
+                ids = memoryview(ids + end)
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
                     row.append(i)
