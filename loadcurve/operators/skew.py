@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadcurve.session import stored
 
-# A side is broadcast only if it has at most this many rows; see ``fits_broadcast``.
+# A side is broadcast only if it stays within both; see ``fits_broadcast``.
 BROADCAST_ROWS = 250_000
-# Copies made of a dimension that is too large to broadcast, and spread of null keys.
-SALTS = 16
+BROADCAST_BYTES = 64 << 20
+# A key is hot if it has more than this share of an average task's rows, and is then cut into parts
+# of that share: many small parts fall more evenly than a few large ones.
+HOT_SHARE = 0.5
+PART_SHARE = 1 / 16
+# Parts of the first level when summaries of frequent keys are merged.
+MERGE_GROUPS = 64
 # A series longer than this (a century of hourly records is 876,600) is cut into chunks of about
 # this many rows before windowing.
 MAX_SERIES_ROWS = 1_000_000
@@ -21,15 +28,103 @@ MAX_SERIES_ROWS = 1_000_000
 LISTED_KEYS = 1_000
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows to learn whether the side is small."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def row_bytes(df: DataFrame) -> Column:
+    """About how much a row takes: lengths of texts and binaries as they are, nested values by their JSON."""
+    width = F.lit(16)
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width += F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            width += F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 16
+        else:
+            width += 16 if isinstance(field.dataType, T.DecimalType) else 8
+    return width.cast("long")
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measure at most ``max_rows + 1`` rows to learn whether the side is small in rows and in bytes.
+
+    Only the widths of the rows are brought together, not the rows.
+    """
+    widths = df.select(row_bytes(df).alias("w")).limit(max_rows + 1)
+    rows, size = widths.agg(F.count("w"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+def hot_keys(hashes: DataFrame, tasks: int) -> list[tuple[int, int]]:
+    """(key hash, parts) of every hash that has more than ``HOT_SHARE`` of an average task's rows.
+
+    ``hashes`` has one long column.  Frequent values are found by mergeable summaries with a bounded number
+    of counters, combined map-side and merged in two levels; no key is shuffled.  Their counts are
+    upper bounds, so a key may be cut into more parts than it needs but no hot one is missed.  At most
+    ``2 * tasks`` keys reach the driver.
+    """
+    column = hashes.columns[0]
+    most = math.ceil(tasks / HOT_SHARE)
+    counters = min(max(10_000, 16 * most), 1_000_000)
+    states = hashes.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS))).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(`{column}`, {counters})").alias("state")
+    )
+    merged = states.groupBy(F.lit(0).alias("all")).agg(
+        F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {counters}), {most})").alias("found")
+    )
+    row = merged.first()  # none without rows
+    if row is None:
+        return []
+    part = max(row["n"] / tasks * PART_SHARE, 1)
+    return [(item["item"], math.ceil(item["count"] / part)) for item in row["found"] if item["count"] > HOT_SHARE / PART_SHARE * part]
+
+
+def _hash(columns: Sequence[Column], others: Sequence[Column], types: Sequence[tuple[T.DataType, T.DataType]]) -> Column:
+    """A hash that equal keys of two sides share, whatever their types."""
+    common = (c if a == b else F.coalesce(c, F.lit(None).cast(b)) for c, (a, b) in zip(columns, types))
+    return F.xxhash64(*common)
+
+
+def _parts(key_hash: Column, hot: Sequence[tuple[int, int]]) -> Column:
+    """Number of parts of a row's key, rounded up to a power of two; one test of membership per power."""
+    by_power: dict[int, list[int]] = {}
+    for found, parts in hot:
+        by_power.setdefault(1 << (parts - 1).bit_length(), []).append(found)
+    chosen = F.lit(1)
+    for power, hashes in by_power.items():
+        chosen = F.when(key_hash.isin(hashes), power).otherwise(chosen)
+    return chosen
+
+
+def split_hot_keys(
+    left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], spread_by: Sequence[str],
+    null_safe: bool = False, tasks: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``__salt`` that must be equal too when they are joined.
+
+    Each hot key of the left side gets its own number of salts, and its rows on the right that many
+    copies; all other keys have salt 0 and one copy.  Left rows with a null key, which match nothing unless
+    ``null_safe``, are scattered.  ``tasks`` defaults to the number of shuffle partitions.
+    """
+    tasks = tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lc, rc = ([F.col(f"`{k}`") for k in keys] for keys in (left_keys, right_keys))
+    types = [(left.schema[a].dataType, right.schema[b].dataType) for a, b in zip(left_keys, right_keys)]
+    of_left = _hash(lc, rc, types)
+    of_right = _hash(rc, lc, [(b, a) for a, b in types])
+    unmatched = F.lit(False) if null_safe else F.greatest(*(c.isNull() for c in lc), F.lit(False))
+    scattered = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in spread_by)), F.lit(int(tasks / PART_SHARE))).cast("int")
+    usual = F.when(unmatched, scattered).otherwise(0)
+
+    hot = hot_keys(left.filter(~unmatched).select(of_left.alias("h")), tasks)
+    if not hot:
+        zero = F.pmod(of_right, F.lit(1)).cast("int")  # always 0, but derived from a column so that it stays a hash key
+        return left.withColumn("__salt", usual), right.withColumn("__salt", zero)
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), _parts(of_right, hot) - 1)))
+    spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in spread_by)), _parts(of_left, hot)).cast("int")
+    return left.withColumn("__salt", F.when(unmatched, scattered).otherwise(spread)), right
+
+
 def _equal(left: Column, right: Column, null_safe: bool) -> Column:
     return left.eqNullSafe(right) if null_safe else left == right
 
@@ -43,33 +138,28 @@ def attach(
     null_safe: bool = False,
     small: bool | None = None,
     max_broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Left or inner join of a large fact with a much smaller side, safe for hot keys.
 
-    A side of checked small size is broadcast, so the fact is not shuffled at all.  Beyond that
-    the dimension is copied ``salts`` times and each fact row picks the copy given by a hash of
-    ``spread_by``, which cuts a hot key (and the rows with a null key) into that many tasks.
-    ``small`` states whether the dimension is known to be small; if left open its rows are counted.
+    A side of checked small size is broadcast, so the fact is not shuffled at all.  Beyond that, hot keys
+    of the fact are cut by a hash of ``spread_by`` (see ``split_hot_keys``); cold keys are not copied.
+    ``small`` states whether the dimension is known to be small; if left open it is measured.
     """
     if how not in ("left", "inner"):
         raise ValueError("attach supports left and inner joins")
-    left, right = fact.alias("l"), dimension.alias("r")
-    on = [_equal(F.col(f"l.`{k}`"), F.col(f"r.`{k}`"), null_safe) for k in keys]
-    extra = [F.col(f"r.`{c}`") for c in dimension.columns if c not in keys]
-    kept = [F.col(f"l.`{c}`") for c in fact.columns]
-
+    kept, added = list(fact.columns), [c for c in dimension.columns if c not in keys]
     if small is None:
         small = fits_broadcast(dimension, max_broadcast_rows)
+    if not small and spread_by:
+        fact, dimension = split_hot_keys(fact, dimension, keys, keys, spread_by, null_safe, tasks)
+    left, right = fact.alias("l"), dimension.alias("r")
+    on = [_equal(F.col(f"l.`{k}`"), F.col(f"r.`{k}`"), null_safe) for k in keys]
     if small:
         right = F.broadcast(right)
     elif spread_by:
-        salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-        left = fact.withColumn("__salt", salt).alias("l")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        right = dimension.withColumn("__salt", copies).alias("r")
         on.append(F.col("l.__salt") == F.col("r.__salt"))
-    return left.join(right, on, how).select(*kept, *extra)
+    return left.join(right, on, how).select(*(F.col(f"l.`{c}`") for c in kept), *(F.col(f"r.`{c}`") for c in added))
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -87,32 +177,29 @@ def align(
     how: str = "left",
     size_bound: DataFrame | None = None,
     max_broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Left join of readings with observations on composite, possibly computed, keys.
 
     ``keys`` pairs an expression over ``fact`` with a column of ``observed``; the observed key
-    columns are left out of the result.  Fact rows with a null key match nothing, so they get a
-    second key component that scatters them instead of sending all of them to one task.
-    The observations are broadcast if ``size_bound``, a frame with at least as many rows that is
-    cheap to count (such as the table before de-duplication), is small.
+    columns are left out of the result.  The observations are broadcast if ``size_bound``, a frame with
+    at least as many rows that is cheap to measure (such as the table before de-duplication), is small.
+    Beyond that hot keys, say an hour of a location with very many series, are cut, and fact rows with a
+    null key, which match nothing, are scattered.
     """
-    names = [f"__k{i}" for i in range(len(keys))]
+    names, theirs = ([f"__{side}{i}" for i in range(len(keys))] for side in ("k", "o"))
     left = fact.withColumns({n: expr for n, (expr, _) in zip(names, keys)})
-    unmatched = F.greatest(*(F.col(n).isNull().cast("int") for n in names)) == 1
-    left = left.withColumn(
-        "__spread", F.when(unmatched, F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0).cast("long"))
-    )
     measures = [c for c in observed.columns if c not in {o for _, o in keys}]
     right = observed.select(
-        *(F.col(f"`{o}`").alias(f"__o{i}") for i, (_, o) in enumerate(keys)),
-        # always 0, but derived from a column so that it stays a hash key
-        F.pmod(F.xxhash64(F.col(f"`{keys[0][1]}`")), F.lit(1)).cast("long").alias("__zero"),
-        *(F.col(f"`{m}`") for m in measures),
+        *(F.col(f"`{o}`").alias(n) for n, (_, o) in zip(theirs, keys)), *(F.col(f"`{m}`") for m in measures)
     )
-    on = [F.col(n) == F.col(f"__o{i}") for i, n in enumerate(names)] + [F.col("__spread") == F.col("__zero")]
+    on = [F.col(n) == F.col(o) for n, o in zip(names, theirs)]
     if fits_broadcast(observed if size_bound is None else size_bound, max_broadcast_rows):
         right = F.broadcast(right)
+    else:
+        left, right = split_hot_keys(left, right, names, theirs, spread_by, tasks=tasks)
+        left, right = left.withColumnRenamed("__salt", "__salt_l"), right.withColumnRenamed("__salt", "__salt_r")
+        on.append(F.col("__salt_l") == F.col("__salt_r"))
     joined = left.join(right, on, how)
     return joined.select(*(F.col(f"`{c}`") for c in fact.columns), *(F.col(f"`{m}`") for m in measures))
 

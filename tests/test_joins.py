@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from conftest import READING, at
 from loadcurve.operators import diagnostics, filters, joins, projections
-from loadcurve.operators.skew import attach, fits_broadcast
+from loadcurve.operators.skew import align, attach, fits_broadcast, hot_keys, split_hot_keys
 
 META = "unique_id string, location_id string, cluster_size double"
 WEATHER = "location_id string, timestamp timestamp, temperature_2m double"
@@ -166,3 +166,72 @@ def test_null_tests_turn_left_join_into_inner(tables):
     merged = joins.join_weather(joins.join_metadata(demand, metadata), weather, max_broadcast_rows=0)
     plan = filters.complete_cases(merged, ["temperature_2m"])._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" not in plan.split("\n")[1] + plan.split("\n")[2] and "Join Inner" in plan
+
+
+@pytest.fixture()
+def skewed(spark):
+    """100,000 readings of 5,000 keys; key 0 has two fifths of them, key 1 a tenth, and 3,000 have none."""
+    n = F.col("id")
+    key = F.when(n < 40_000, 0).when(n < 50_000, 1).when(n < 97_000, 2 + n % 4_998)
+    return spark.range(100_000).select(key.alias("k"), n.alias("at"), (n % 7).alias("v"))
+
+
+def largest_and_median_task(joined):
+    sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+    return sizes[-1], sizes[len(sizes) // 2]
+
+
+def test_hot_keys_are_found_with_their_shares(spark, skewed):
+    found = dict(hot_keys(skewed.filter("k is not null").select(F.xxhash64("k").alias("h")), 8))
+    names = {r.h: r.k for r in skewed.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
+    assert {names[h] for h in found} == {0, 1}
+    by_key = {names[h]: parts for h, parts in found.items()}
+    assert by_key[0] == 53 and by_key[1] == 14  # 40,000 and 10,000 rows, at most 757 a part
+    assert hot_keys(skewed.filter("k > 1").select(F.xxhash64("k").alias("h")), 8) == []
+    assert hot_keys(skewed.limit(0).select(F.xxhash64("k").alias("h")), 8) == []
+
+
+def test_only_hot_keys_are_copied(spark, skewed):
+    dimension = spark.range(5_100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    left, right = split_hot_keys(skewed, dimension, ["k"], ["k"], ["at"], tasks=8)
+    copies = {r.k: r["count"] for r in right.groupBy("k").count().filter("count > 1").collect()}
+    assert copies == {0: 64, 1: 16} and right.count() == 5_100 + 63 + 15
+    salts = left.filter("k > 1").agg(F.max("__salt")).first()[0]
+    assert salts == 0
+    assert left.filter("k is null").select("__salt").distinct().count() > 16
+
+
+def test_skewed_join_spreads_over_tasks(spark, skewed):
+    """The largest task has at most twice the rows of the median, and every reading its own values."""
+    dimension = spark.range(5_100).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("w"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        attached = attach(skewed, dimension, ["k"], spread_by=["at"], small=False)
+        hours = dimension.withColumn("hour", F.lit(0))
+        aligned = align(skewed.withColumn("hour", F.lit(0)), hours, [(F.col("k"), "k"), (F.col("hour"), "hour")], ["at"], max_broadcast_rows=0)
+        for joined in (attached, aligned):
+            largest, median = largest_and_median_task(joined)
+            assert largest <= 2 * median
+            assert joined.count() == 100_000
+            assert joined.filter("w = 2 * k").count() == 97_000 and joined.filter("w is null").count() == 3_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_keys_of_different_types_share_salts(spark, skewed):
+    dimension = spark.range(10).select(F.col("id").cast("string").alias("k"), F.col("id").alias("w"))
+    joined = attach(skewed, dimension, ["k"], how="inner", spread_by=["at"], small=False, tasks=8)
+    assert joined.count() == skewed.filter("k < 10").count()
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    wide = spark.range(1_000).select(F.col("id").alias("k"), F.expr("repeat('x', 1000)").alias("text"), F.array("id").alias("a"))
+    assert fits_broadcast(wide) and not fits_broadcast(wide, max_bytes=900_000)
+    assert fits_broadcast(wide.select("k"), max_bytes=900_000)
+    small = fits_broadcast(wide, max_bytes=900_000)
+    plan = attach(spark.range(5).withColumnRenamed("id", "k"), wide, ["k"], spread_by=["k"], small=small)
+    assert "__salt" in plan._jdf.queryExecution().analyzed().toString()
