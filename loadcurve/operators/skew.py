@@ -80,6 +80,13 @@ def hot_keys(hashes: DataFrame, tasks: int) -> list[tuple[int, int]]:
     return [(item["item"], math.ceil(item["count"] / part)) for item in row["found"] if item["count"] > HOT_SHARE / PART_SHARE * part]
 
 
+def _counted_hot_keys(counts: DataFrame, tasks: int) -> list[tuple[int, int]]:
+    """As ``hot_keys`` from (key hash, rows); fewer than ``tasks / HOT_SHARE`` keys can be hot."""
+    counts = counts.toDF("h", "n")
+    part = max((counts.agg(F.sum("n")).first()[0] or 0) / tasks * PART_SHARE, 1)
+    return [(h, math.ceil(n / part)) for h, n in counts.filter(F.col("n") > HOT_SHARE / PART_SHARE * part).collect()]
+
+
 def _hash(columns: Sequence[Column], others: Sequence[Column], types: Sequence[tuple[T.DataType, T.DataType]]) -> Column:
     """A hash that equal keys of two sides share, whatever their types."""
     common = (c if a == b else F.coalesce(c, F.lit(None).cast(b)) for c, (a, b) in zip(columns, types))
@@ -99,13 +106,14 @@ def _parts(key_hash: Column, hot: Sequence[tuple[int, int]]) -> Column:
 
 def split_hot_keys(
     left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], spread_by: Sequence[str],
-    null_safe: bool = False, tasks: int | None = None,
+    null_safe: bool = False, tasks: int | None = None, counts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides with a column ``__salt`` that must be equal too when they are joined.
 
     Each hot key of the left side gets its own number of salts, and its rows on the right that many
     copies; all other keys have salt 0 and one copy.  Left rows with a null key, which match nothing unless
     ``null_safe``, are scattered.  ``tasks`` defaults to the number of shuffle partitions.
+    ``counts``, rows of the left keys with their number in the last column, saves looking for hot ones.
     """
     tasks = tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lc, rc = ([F.col(f"`{k}`") for k in keys] for keys in (left_keys, right_keys))
@@ -116,7 +124,10 @@ def split_hot_keys(
     scattered = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in spread_by)), F.lit(int(tasks / PART_SHARE))).cast("int")
     usual = F.when(unmatched, scattered).otherwise(0)
 
-    hot = hot_keys(left.filter(~unmatched).select(of_left.alias("h")), tasks)
+    if counts is None:
+        hot = hot_keys(left.filter(~unmatched).select(of_left.alias("h")), tasks)
+    else:
+        hot = _counted_hot_keys(counts.select(_hash([F.col(f"`{k}`") for k in left_keys], rc, types), counts.columns[-1]), tasks)
     if not hot:
         zero = F.pmod(of_right, F.lit(1)).cast("int")  # always 0, but derived from a column so that it stays a hash key
         return left.withColumn("__salt", usual), right.withColumn("__salt", zero)
@@ -139,12 +150,14 @@ def attach(
     small: bool | None = None,
     max_broadcast_rows: int = BROADCAST_ROWS,
     tasks: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left or inner join of a large fact with a much smaller side, safe for hot keys.
 
     A side of checked small size is broadcast, so the fact is not shuffled at all.  Beyond that, hot keys
     of the fact are cut by a hash of ``spread_by`` (see ``split_hot_keys``); cold keys are not copied.
     ``small`` states whether the dimension is known to be small; if left open it is measured.
+    ``counts`` is as in ``split_hot_keys``.
     """
     if how not in ("left", "inner"):
         raise ValueError("attach supports left and inner joins")
@@ -152,7 +165,7 @@ def attach(
     if small is None:
         small = fits_broadcast(dimension, max_broadcast_rows)
     if not small and spread_by:
-        fact, dimension = split_hot_keys(fact, dimension, keys, keys, spread_by, null_safe, tasks)
+        fact, dimension = split_hot_keys(fact, dimension, keys, keys, spread_by, null_safe, tasks, counts)
     left, right = fact.alias("l"), dimension.alias("r")
     on = [_equal(F.col(f"l.`{k}`"), F.col(f"r.`{k}`"), null_safe) for k in keys]
     if small:
