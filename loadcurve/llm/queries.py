@@ -12,12 +12,15 @@ from loadcurve.llm.columns import table
 from loadcurve.llm.decision_list import quality_verdicts
 from loadcurve.llm.folded_bpe import round_trip_report
 from loadcurve.llm.html_regions import extract_main_text
+from loadcurve.llm.importance import resampled
 from loadcurve.llm.packing import packed_sequences
 from loadcurve.llm.prefix_counts import token_counts
+from loadcurve.llm.secrets import secret_report
 from loadcurve.llm.simhash import near_duplicate_components
 from loadcurve.llm.suffix_repeats import repeat_report
 from loadcurve.llm.toxicity import toxicity_verdicts
 from loadcurve.llm.url_rules import judge_urls
+from loadcurve.llm.whitening import whitened_rows
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -105,3 +108,54 @@ def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity")
 def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_secrets")
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def _whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_importance_resampling",
+    r"""
+    WITH RECURSIVE bits(i, k, v) AS (
+        SELECT range, 0, range FROM range(256)
+        UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+    crc AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8),
+    texts AS (
+        SELECT row_number() OVER () AS n, 0 AS side, doc_id, text FROM documents
+        UNION ALL SELECT -row_number() OVER (), 1, NULL, text FROM benchmark),
+    words AS (
+        SELECT n, side, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+    spelled AS (
+        SELECT word, list_transform(range(length(h) // 2), lambda j: CAST('0x' || substr(h, 2 * j + 1, 2) AS BIGINT)) AS bytes
+        FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words))),
+    hashed AS (
+        SELECT word, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+        FROM spelled, crc),
+    placed AS (SELECT n, side, bucket FROM words JOIN hashed USING (word)),
+    counts AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM placed GROUP BY bucket),
+    totals AS (SELECT coalesce(sum(s), 0)::BIGINT AS total_s, coalesce(sum(t), 0)::BIGINT AS total_t FROM counts),
+    gains AS (
+        SELECT bucket, floor(1000 * ln(((t + 1) * (total_s + 10000))::DOUBLE / ((s + 1) * (total_t + 10000))::DOUBLE))::BIGINT AS gain FROM counts, totals),
+    sums AS (SELECT n, count(*) AS n_features, sum(gain)::DOUBLE AS total FROM placed JOIN gains USING (bucket) WHERE side = 0 GROUP BY n),
+    scored AS (
+        SELECT n, doc_id, coalesce(n_features, 0) AS n_features, coalesce(floor(total / n_features), 0)::BIGINT AS weight,
+               CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+        FROM texts LEFT JOIN sums USING (n) WHERE side = 0),
+    keyed AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+    ordered AS (
+        SELECT n, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank FROM keyed WHERE n_features >= 20),
+    quota AS (SELECT 10 * count(*) // 100 AS k FROM ordered)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= k THEN rank END AS rank
+    FROM keyed CROSS JOIN quota LEFT JOIN ordered USING (n)
+    """,
+)
+def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
