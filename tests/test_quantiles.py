@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from loadcurve.operators import quantiles
 from loadcurve.operators.quantiles import approximate_quantiles, exact_quantiles
 
 PROBABILITIES = [0.25, 0.5, 0.75]
@@ -76,3 +77,35 @@ def test_one_group_over_many_partitions(frame):
 
 def test_no_rows(frame):
     assert exact_quantiles(frame([], "g string, v double"), ["g"], "v", PROBABILITIES).count() == 0
+
+
+@pytest.mark.parametrize("setting, value", [("SPREAD", -3.0), ("SPREAD", 0.0), ("GATHERED", 5), ("SAMPLE", 16)])
+def test_missed_and_crowded_brackets(frame, monkeypatch, setting, value):
+    """Brackets that miss, hold too many values or come from a tiny sample cost rounds, not exactness."""
+    rng = random.Random(8)
+    groups = {f"{kind} {n}": draw(kind, n, rng) for kind in ("ties", "heavy tail", "normal") for n in (1, 6, 3000)}
+    df = frame([(g, v) for g, values in groups.items() for v in values], "g string, v double").repartition(5)
+    monkeypatch.setattr(quantiles, setting, value)
+    for row in exact_quantiles(df, ["g"], "v", PROBABILITIES).collect():
+        assert [row.q25, row.q50, row.q75] == pytest.approx(list(expected(groups[row.g]))), row.g
+
+
+def test_input_is_read_twice_and_few_values_are_kept(spark, frame, monkeypatch):
+    rng = random.Random(9)
+    values = [rng.gauss(0, 1) for _ in range(60_000)]
+    read, kept = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = frame([("a", v) for v in values], "g string, v double").mapInArrow(counted, "g string, v double")
+    monkeypatch.setattr(quantiles, "_in_order", lambda cells, *rest: kept.append(cells.count()) or in_order(cells, *rest))
+    row = exact_quantiles(df, ["g"], "v", PROBABILITIES, few_groups=True).first()
+    assert list(row)[1:] == pytest.approx(list(expected(values)))
+    assert read.value == 2 * len(values)
+    assert kept[0] < len(values) / 6
+
+
+in_order = quantiles._in_order
