@@ -3,7 +3,8 @@
 Spark evaluates a bounded frame by going through all its rows again for every record, so frames of
 3 to 168 rows cost about 260 updates per record.  Row frames are therefore composed: the state of
 a wide frame (count, mean, squared deviations, minimum, maximum) is merged from the states of
-narrower frames that end at earlier records, which ``lag`` fetches in constant time.
+narrower frames that end at earlier records, which ``lag`` fetches in constant time.  Frames by time
+hold varying numbers of rows; see ``time_frames``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadcurve.operators.skew import MAX_SERIES_ROWS, lay_out_by_rows, lay_out_by_time
+from loadcurve.operators.time_frames import NUMBERS, time_frames
 
 # The rolling windows (hours) and statistics of the feature set.
 DEFAULT_WINDOWS = (3, 6, 12, 24, 168)
@@ -156,13 +158,18 @@ def rolling_features(
         raise TypeError(f"column {timestamp!r} must be a timestamp")
     widest = max(windows)
     if frame == "rows":
-        layout = lay_out_by_rows(df, key, timestamp, widest - 1 if include_current else widest, max_series_rows)
-        order = Window.partitionBy(*layout.partition_by).orderBy(timestamp, *tiebreak)
+        layout = lay_out_by_rows(df, key, timestamp, widest - 1 if include_current else widest, max_series_rows, tiebreak)
+        order = Window.partitionBy(*layout.partition_by).orderBy(*layout.order_by)
         return layout.own_rows(_composed_frames(layout.frame, order, target, windows, known, include_current))
     if frame == "range":
         layout = lay_out_by_time(df, key, timestamp, widest * 3600, max_series_rows)
-        order = Window.partitionBy(*layout.partition_by).orderBy(F.unix_micros(F.col(timestamp)))
         hour = 3_600_000_000
+        if isinstance(df.schema[target].dataType, NUMBERS):
+            named = {frame_name(target, s, n): (s, n * hour) for n in windows for s in known}
+            widths = [n * hour for n in windows]
+            return layout.own_rows(time_frames(layout.frame, layout.partition_by, timestamp, target, named, widths, include_current))
+        # wide integers, decimals and values that only have an order
+        order = Window.partitionBy(*layout.partition_by).orderBy(F.unix_micros(F.col(timestamp)))
         frames = {
             n: order.rangeBetween(1 - n * hour, 0) if include_current else order.rangeBetween(-n * hour, -1)
             for n in windows

@@ -219,7 +219,7 @@ def align(
 
 @dataclass(frozen=True)
 class SeriesLayout:
-    """Rows ready for ``Window.partitionBy(*partition_by)``.
+    """Rows ready for ``Window.partitionBy(*partition_by).orderBy(*order_by)``.
 
     In a cut series each chunk carries copies of the rows that precede it; ``own_rows`` drops
     those copies after the window has been computed.
@@ -227,10 +227,11 @@ class SeriesLayout:
 
     frame: DataFrame
     partition_by: list[str]
+    order_by: list[str]
     cut: bool
 
     def own_rows(self, computed: DataFrame) -> DataFrame:
-        return computed.filter(~F.col("__halo")).drop("__chunk", "__halo") if self.cut else computed
+        return computed.filter(~F.col("__halo")).drop("__chunk", "__halo", "__position") if self.cut else computed
 
 
 def _mark_long_series(df: DataFrame, key: str, timestamp: str, max_rows: int) -> DataFrame | None:
@@ -256,51 +257,48 @@ def lay_out_by_rows(
     timestamp: str,
     preceding_rows: int,
     max_series_rows: int = MAX_SERIES_ROWS,
-    bucket_seconds: int = 3600,
+    tiebreak: Sequence[str] = (),
 ) -> SeriesLayout:
-    """Cut long series into time-contiguous chunks, each led by the rows its frames reach back to.
+    """Cut long series into chunks of ``max_series_rows`` consecutive rows, each led by those its frames reach back to.
 
     Only keys are scanned to find long series; without any, the frame is returned untouched.
-    For long ones, rows are counted per time bucket, buckets are packed in time order into chunks
-    of about ``max_series_rows`` rows, and a bucket is also copied into every later chunk that
-    starts within ``preceding_rows`` rows of the bucket's end.  All rows of a bucket (hence all
-    rows with equal timestamps) stay together, so results equal those of the uncut series.
+    Long ones are stored once in range partitions by series and time.  The partitions' row counts, added up,
+    give every row its position in its series, so chunks are cut by rows even where a series has most of
+    them within one hour or at one instant, and no partition holds a whole series.
     """
+    order = [timestamp, *tiebreak]
     marked = _mark_long_series(df, key, timestamp, max_series_rows)
     if marked is None:
-        return SeriesLayout(df, [key], cut=False)
+        return SeriesLayout(df, [key], order, cut=False)
     size = max(max_series_rows, preceding_rows, 1)
-    bucket = F.floor(F.unix_seconds(F.col(timestamp)) / F.lit(bucket_seconds))
-    keyed = marked.withColumn("__bucket", F.when(F.col("__long"), bucket))
-    counts = keyed.filter("__long").groupBy(key, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
-    in_order = Window.partitionBy(key).orderBy("__bucket")
-    before = F.coalesce(F.sum("__rows").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.col("__before") + F.col("__rows")
-    first_later = F.greatest(F.col("__own") + 1, F.floor(after / F.lit(size)))
-    last_later = F.floor((after + F.lit(preceding_rows - 1)) / F.lit(size))
-    plan = (
-        counts.withColumn("__before", before)
-        .withColumn("__own", F.floor(F.col("__before") / F.lit(size)))
-        .select(
+    # rows that are equal in key and order are told apart by all they hold, so that they can be split too
+    rest = [c for c, t in df.dtypes if c not in (key, *order) and "map<" not in t and "variant" not in t]
+    sort = [key, *order, *([F.xxhash64(*(f"`{c}`" for c in rest))] if rest else [])]
+    long = marked.filter("__long").drop("__long").repartitionByRange(*sort).sortWithinPartitions(*sort)
+    long = stored(long.withColumn("__at", F.monotonically_increasing_id()))
+    # the number has the partition in its upper bits, the row in the lower 33
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    parts = long.groupBy(key, part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"), F.min(row).alias("__first"))
+    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = stored(
+        parts.select(
             key,
-            "__bucket",
-            "__own",
-            F.when(last_later >= first_later, F.sequence(first_later, last_later))
-            .otherwise(F.array().cast("array<bigint>"))
-            .alias("__later"),
+            "__part",
+            (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"),
+            (F.sum("__rows").over(Window.partitionBy(key)) - 1).alias("__last"),
         )
     )
-    # used for its size and for the join, hence stored once
-    plan = stored(plan)
-    placed = attach(keyed, plan, [key, "__bucket"], spread_by=[timestamp], null_safe=True)
-    own = F.coalesce(F.col("__own"), F.lit(0))
-    targets = F.concat(F.array(own), F.coalesce(F.col("__later"), F.array().cast("array<bigint>")))
-    cut = (
-        placed.select(*df.columns, own.alias("__home"), F.explode(targets).alias("__chunk"))
-        .withColumn("__halo", F.col("__chunk") != F.col("__home"))
-        .drop("__home")
+    placed = attach(long.withColumn("__part", part), parts, [key, "__part"], spread_by=["__at"], null_safe=True)
+    position = F.col("__shift") + row
+    own = F.floor(position / F.lit(size))
+    chunks = F.sequence(own, F.floor(F.least(position + preceding_rows, F.col("__last")) / F.lit(size)))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    cut = placed.select(*columns, position.alias("__position"), own.alias("__home"), F.explode(chunks).alias("__chunk"))
+    cut = cut.select(*columns, "__position", "__chunk", (F.col("__chunk") != F.col("__home")).alias("__halo"))
+    whole = marked.filter(~F.col("__long")).select(
+        *columns, F.lit(None).cast("long").alias("__position"), F.lit(0).cast("long").alias("__chunk"), F.lit(False).alias("__halo")
     )
-    return SeriesLayout(cut, [key, "__chunk"], cut=True)
+    return SeriesLayout(whole.unionByName(cut), [key, "__chunk"], [*order, "__position"], cut=True)
 
 
 def lay_out_by_time(
@@ -318,7 +316,7 @@ def lay_out_by_time(
     """
     marked = _mark_long_series(df, key, timestamp, max_series_rows)
     if marked is None:
-        return SeriesLayout(df, [key], cut=False)
+        return SeriesLayout(df, [key], [timestamp], cut=False)
     width = max(chunk_seconds or 8 * preceding_seconds, preceding_seconds, 1)
     seconds = F.unix_seconds(F.col(timestamp))
     own = F.when(F.col("__long"), F.floor(seconds / F.lit(width)))
@@ -333,4 +331,4 @@ def lay_out_by_time(
         .withColumn("__halo", F.col("__chunk") != F.col("__home"))
         .drop("__home")
     )
-    return SeriesLayout(cut, [key, "__chunk"], cut=True)
+    return SeriesLayout(cut, [key, "__chunk"], [timestamp], cut=True)

@@ -105,8 +105,8 @@ def intervals(
 ) -> DataFrame:
     """Seconds since the previous record of the series; the first record of a series is left out."""
     df = as_timestamp(df.select(key, timestamp, *tiebreak), timestamp)
-    layout = lay_out_by_rows(df, key, timestamp, 1, max_series_rows)
-    order = Window.partitionBy(*layout.partition_by).orderBy(timestamp, *tiebreak)
+    layout = lay_out_by_rows(df, key, timestamp, 1, max_series_rows, tiebreak)
+    order = Window.partitionBy(*layout.partition_by).orderBy(*layout.order_by)
     seconds = F.unix_seconds(F.col(timestamp))
     with_gap = layout.frame.withColumn("diff_seconds", seconds - F.lag(seconds).over(order))
     return layout.own_rows(with_gap).filter(F.col("diff_seconds").isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import READING, at
-from loadcurve.operators import filters, rolling
+from loadcurve.operators import filters, rolling, skew, time_frames, timeseries
 
 STATS = ["mean", "stddev", "min", "max"]
 
@@ -144,3 +144,83 @@ def test_long_keys_by_literal_or_by_join(frame, monkeypatch, listed):
     for kind in ("rows", "range"):
         options = dict(windows=(3, 24), frame=kind)
         same(rolling.rolling_features(df, max_series_rows=12, **options), rolling.rolling_features(df, **options))
+
+
+def bounded_ranges(df, windows, include_current):
+    hour = 3_600_000_000
+    order = Window.partitionBy("unique_id").orderBy(F.unix_micros("timestamp"))
+    frames = {n: order.rangeBetween(1 - n * hour, 0) if include_current else order.rangeBetween(-n * hour, -1) for n in windows}
+    return rolling._direct_frames(df, frames, "y", [*STATS, "rows"])
+
+
+@pytest.mark.parametrize("block", [1, 7, 50_000])
+@pytest.mark.parametrize("include_current", [True, False])
+def test_time_frames_equal_walked_ones(frame, monkeypatch, block, include_current):
+    rng = random.Random(block)
+    rows = series(4) + [("inf", at(h), rng.choice([math.inf, 1.0, None])) for h in range(30)]
+    rows += [("nan", at(h), rng.choice([math.nan, 2.0, None, 5.0])) for h in range(0, 60, 2)]
+    df = frame(rows, READING).withColumn("tag", F.lit("kept")).dropDuplicates(["unique_id", "timestamp"])
+    monkeypatch.setattr(time_frames, "BLOCK_ROWS", block)
+    got = rolling.rolling_features(df, windows=(1, 3, 24, 168), stats=[*STATS, "rows"], frame="range", include_current=include_current)
+    want = bounded_ranges(df, (1, 3, 24, 168), include_current)
+    assert got.schema == want.schema or [f.name for f in got.schema] == [f.name for f in want.schema] and got.dtypes == want.dtypes
+
+    def cells(out):
+        return sorted(
+            tuple("nan" if isinstance(v, float) and v != v else round(v, 7) if isinstance(v, float) else str(v) for v in r)
+            for r in out.select(*(c for c in out.columns if "stddev" not in c and "mean" not in c or c == "y")).collect()
+        )
+
+    assert sorted(map(str, cells(got))) == sorted(map(str, cells(want)))
+    finite = lambda out: out.filter("unique_id is null or unique_id not in ('inf', 'nan')")
+    same(finite(got), finite(want))
+
+
+@pytest.mark.parametrize("include_current", [True, False])
+def test_time_frames_of_ties_gaps_and_missing_times(frame, monkeypatch, include_current):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *(at(rng.choice([0, 1, 1.5, 30, 5000])) for _ in range(3))]), rng.randint(-5, 5)) for _ in range(300)]
+    df = frame(rows, "unique_id string, timestamp timestamp, y int").repartition(3)
+    monkeypatch.setattr(time_frames, "BLOCK_ROWS", 10)
+    got = rolling.rolling_features(df, windows=(2, 24), stats=["rows", "min", "max", "mean"], frame="range", include_current=include_current)
+    want = bounded_ranges(df, (2, 24), include_current).select(got.columns)
+    rounded = lambda out: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in out.collect())
+    assert got.dtypes == want.dtypes and rounded(got) == rounded(want)
+
+
+def test_time_frames_keep_precision_far_from_zero(frame):
+    rows = [("a", at(i / 60), 1e9 + (i % 7) / 1000) for i in range(2000)] + [("a", at(100 + i / 60), (i % 7) / 1000) for i in range(2000)]
+    got = rolling.rolling_features(frame(rows, READING), windows=(3,), stats=["stddev"], frame="range").orderBy("timestamp").collect()
+    assert got[-1].y_rolling_stddev_3h == pytest.approx(0.002, rel=0.02)
+
+
+def test_time_frames_hold_decimals_and_longs(frame):
+    df = frame([("a", at(h), 2**60 + h) for h in range(5)], "unique_id string, timestamp timestamp, y long")
+    got = rolling.rolling_features(df, windows=(2,), stats=["max"], frame="range").orderBy("timestamp").collect()
+    assert [r.y_rolling_max_2h for r in got] == [2**60 + h for h in range(5)]
+
+
+def burst():
+    rng = random.Random(5)
+    rows = [("burst", at(i / 4000), rng.uniform(0, 9)) for i in range(3000)]
+    return rows + [("same", at(2), float(i)) for i in range(200)] + [("calm", at(h), float(h)) for h in range(30)]
+
+
+def test_a_burst_within_one_hour_is_cut_by_rows(spark, frame):
+    df = frame(burst(), READING)
+    layout = skew.lay_out_by_rows(df, "unique_id", "timestamp", 11, 250)
+    sizes = {(r.unique_id, r["__chunk"]): r["count"] for r in layout.frame.groupBy("unique_id", "__chunk").count().collect()}
+    assert len([k for k in sizes if k[0] == "burst"]) == 12 and max(sizes.values()) <= 250 + 11
+    assert layout.frame.filter("not __halo").count() == df.count()
+    options = dict(windows=(3, 12), stats=[*STATS, "rows"])
+    uncut, cut = (rolling.rolling_features(df, max_series_rows=n, **options) for n in (10_000, 250))
+    same(cut.filter("unique_id != 'same'"), uncut.filter("unique_id != 'same'"))
+    # rows of one instant have no order of their own, but one and the same in every chunk
+    tied = rolling.rolling_features(df.filter("unique_id = 'same'"), max_series_rows=50, **options)
+    assert [r.y_rolling_rows_12h for r in tied.orderBy("y_rolling_rows_12h").collect()] == [*range(1, 12), *[12] * 189]
+
+
+def test_intervals_of_a_burst(frame):
+    df = frame(burst(), READING)
+    gaps = [sorted(str(r) for r in timeseries.intervals(df, max_series_rows=n).collect()) for n in (10_000, 250)]
+    assert gaps[0] == gaps[1]
