@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from checks.fixtures import TABLE_NAMES, Tables
@@ -56,6 +58,32 @@ def _(t: Tables):
     return sinks.read_back(t.spark, target)
 
 
+def _by_month(t: Tables) -> str:
+    target = scratch_path(t.spark, "orders-by-month")
+    dated = t.orders_demand.select("unique_id", "timestamp", "y", F.year("timestamp").alias("year"), F.month("timestamp").alias("month"))
+    sinks.write_partitioned(dated, target, inputs=[t.path("orders")])
+    return target
+
+
+@check(
+    "s06_time_range",
+    """SELECT unique_id, "timestamp", y FROM orders_demand
+       WHERE "timestamp" >= TIMESTAMP '1996-03-10 00:00:00' AND "timestamp" < TIMESTAMP '1997-02-02 00:00:00'""",
+)
+def _(t: Tables):
+    rows = sinks.read_time_range(t.spark, _by_month(t), datetime(1996, 3, 10), datetime(1997, 2, 2))
+    return rows.select("unique_id", "timestamp", "y")
+
+
+@check("s06_table_by_series", """SELECT unique_id, min("timestamp") AS first_ts, count(*) AS n_rows, count(y) AS n_valid FROM orders_demand GROUP BY 1""")
+def _(t: Tables):
+    path = scratch_path(t.spark, "orders-by-series")
+    rows = sinks.write_by_series(t.orders_demand, path, path.rsplit("/", 1)[1].replace("-", "_"), buckets=8, inputs=[t.path("orders")])
+    return rows.groupBy("unique_id").agg(
+        F.min("timestamp").alias("first_ts"), F.count(F.lit(1)).alias("n_rows"), F.count("y").alias("n_valid")
+    )
+
+
 @check("s07_read_back_count", "SELECT count(*) AS n_rows FROM readings")
 def _(t: Tables):
     target = scratch_path(t.spark, "readings")

@@ -60,6 +60,21 @@ def _(t: Tables):
     return rounded(reports["coverage"], 4)
 
 
+@check(
+    "q1_merge_success",
+    """, c AS (SELECT count(*) AS n_rows, count(location_id) AS n_located,
+                      count(*) FILTER (location_id IS NOT NULL AND temperature_2m IS NULL) AS n_located_unmatched,
+                      count(*) FILTER (temperature_2m IS NULL) AS n_unmatched FROM merged)
+       SELECT *, round(100.0 * n_located_unmatched / n_located, 4) AS located_unmatched_pct,
+              round(100.0 * n_unmatched / n_rows, 4) AS unmatched_pct FROM c""",
+)
+def _(t: Tables):
+    paths = _written_sources(t)
+    target = scratch_path(t.spark, "merged")
+    reports = merge.run_merge(t.spark, paths["demand"], paths["metadata"], paths["weather"], target, weather_order=DAILY_TIES)
+    return rounded(reports["success"], 4)
+
+
 FEATURES_SQL = (
     ", f AS (" + rolling_sql("merged", '"timestamp", o_orderkey', 3, rolling.FEATURE_WINDOWS, last_rows,
     """, o_orderkey, location_id, building_class, cluster_size, temperature_2m, relative_humidity_2m, precipitation, wind_speed_10m,

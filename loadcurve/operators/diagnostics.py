@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadcurve.functions.scalars import percent
 from loadcurve.functions.times import is_on_hour
 from loadcurve.operators.filters import missing_observation
-from loadcurve.operators.joins import compare_ranges
+from loadcurve.operators.joins import compare_ranges, possible_rows
 from loadcurve.operators.profile import duplicate_summary, missing_values
 from loadcurve.operators.timeseries import time_range
+from loadcurve.session import stored
 
 
 def key_coverage(left: DataFrame, right: DataFrame, key: str = "location_id") -> DataFrame:
@@ -69,15 +70,18 @@ def range_alignment(
     )
 
 
-def join_success(merged: DataFrame, measure: str = "temperature_2m", key: str = "location_id") -> DataFrame:
-    """One row on how many merged rows got an observation, in one pass over the merged table."""
+def success_counts(measure: str = "temperature_2m", key: str = "location_id") -> list[Column]:
+    """Aggregates over merged rows; they can be observed while the rows are written."""
     located, absent = F.col(key).isNotNull(), F.col(measure).isNull()
-    counts = merged.agg(
+    return [
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(located).alias("n_located"),
         F.count_if(located & absent).alias("n_located_unmatched"),
         F.count_if(absent).alias("n_unmatched"),
-    )
+    ]
+
+
+def with_success_shares(counts: DataFrame) -> DataFrame:
     return counts.select(
         "*",
         percent(F.col("n_located_unmatched"), F.col("n_located")).alias("located_unmatched_pct"),
@@ -85,6 +89,11 @@ def join_success(merged: DataFrame, measure: str = "temperature_2m", key: str =
     )
 
 
+def join_success(merged: DataFrame, measure: str = "temperature_2m", key: str = "location_id") -> DataFrame:
+    """One row on how many merged rows got an observation, in one pass over the merged table."""
+    return with_success_shares(merged.agg(*success_counts(measure, key)))
+
+
 def resample_check(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:
     """One row: stamps that are off the hour, over the whole table."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~is_on_hour(timestamp)).alias("n_off_hour")).withColumn(
@@ -101,10 +110,14 @@ def unmatched_audit(
     unit: str = "hour",
     exclude: Sequence[str] = (),
 ) -> DataFrame:
-    """Distinct (location, time) keys without observation, and whether weather has them after all."""
+    """Distinct (location, time) keys without observation, and whether weather has them after all.
+
+    The keys are stored when the frame is built; observations of other keys are dropped before the shuffle.
+    """
     stamp = F.date_trunc(unit, F.col(timestamp)).alias(timestamp)
-    keys = merged.filter(missing_observation(measure, key, exclude)).select(key, stamp).distinct()
-    present = weather.select(key, timestamp).distinct().withColumn("__seen", F.lit(True))
+    # stored, since the filter of the observations and the join both need them
+    keys = stored(merged.filter(missing_observation(measure, key, exclude)).select(key, stamp).distinct())
+    present = possible_rows(weather.select(key, timestamp), keys, [key, timestamp]).distinct().withColumn("__seen", F.lit(True))
     return keys.join(present, [key, timestamp], "left").select(
         key, timestamp, F.col("__seen").isNotNull().alias("in_weather")
     )

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadcurve.operators.skew import BROADCAST_ROWS, align, attach
+from loadcurve.session import stored
 
+# Bits of the bitmap that tells which rows may match: 16 MB.
+FILTER_BITS = 1 << 27
 METADATA_COLUMNS = ("unique_id", "location_id", "building_class", "cluster_size")
 
 
@@ -99,11 +102,46 @@ def compare_ranges(left: DataFrame, right: DataFrame, key: str = "location_id")
     return left.join(right, key, "outer")
 
 
+def possible_rows(reference: DataFrame, keys: DataFrame, on: Sequence[str], bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of the reference table that may hold one of the keys, by a bitmap of the keys' hashes.
+
+    The bitmap, ``bits / 8`` bytes however many keys there are, is built by map-side combined aggregation in
+    parts of 4 KB and broadcast.  Rows without any of the keys are dropped at the scan, up to chance hits.
+    """
+    types = [(keys.schema[c].dataType, reference.schema[c].dataType) for c in on]
+
+    def place(other_first: bool) -> Column:
+        columns = (
+            F.col(f"`{c}`") if a == b else F.coalesce(F.col(f"`{c}`"), F.lit(None).cast(b if other_first else a)) for c, (a, b) in zip(on, types)
+        )
+        return F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
+
+    bitmap = (
+        keys.dropna(subset=list(on)).select(place(True).alias("__place"))
+        .groupBy(F.bitmap_bucket_number("__place").alias("__bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__place")).alias("__bitmap"))
+    )
+    bit = F.bitmap_bit_position("__place")
+    placed = reference.withColumn("__place", place(False)).withColumns(
+        {"__bucket": F.bitmap_bucket_number("__place"), "__byte": F.shiftright(bit, 3).cast("int"), "__bit": bit.bitwiseAND(7).cast("int")}
+    )
+    is_set = "shiftright(cast(conv(hex(substring(__bitmap, __byte + 1, 1)), 16, 10) as int), __bit) & 1 = 1"
+    found = placed.join(F.broadcast(bitmap), "__bucket").filter(is_set)
+    return found.select(*(F.col(f"`{c}`") for c in reference.columns))
+
+
+def _distinct_matches(keys: DataFrame, reference: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The reference's different keys that can match, so that a key with many rows there travels once."""
+    return possible_rows(reference.select(*on), keys, on).distinct()
+
+
 def existing_keys(keys: DataFrame, reference: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys that do occur in the reference table."""
-    return keys.join(reference.select(*on), list(on), "left_semi")
+    """Keys that do occur in the reference table.  They are stored first, since the filter and the join both need them."""
+    keys = stored(keys)
+    return keys.join(_distinct_matches(keys, reference, on), list(on), "left_semi")
 
 
 def absent_keys(keys: DataFrame, reference: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys that do not occur in the reference table."""
-    return keys.join(reference.select(*on), list(on), "left_anti")
+    """Keys that do not occur in the reference table; stored first as well."""
+    keys = stored(keys)
+    return keys.join(_distinct_matches(keys, reference, on), list(on), "left_anti")

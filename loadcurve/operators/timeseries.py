@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadcurve.functions.scalars import percent
 from loadcurve.functions.times import as_timestamp
@@ -33,8 +34,17 @@ def deduplicate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def deduplicate_ordered(df: DataFrame, keys: Sequence[str], order_by: Sequence) -> DataFrame:
     """One row per key, the first in the given order.
 
-    Spark applies the ``= 1`` limit before the shuffle as well, so copies of one key do not travel.
+    Where one whole number decides and all other columns have a fixed width, each task keeps the winner per key
+    while it reads, without a sort.  Otherwise Spark's ``= 1`` limit on the row number applies before the shuffle
+    as well.  Copies of one key do not travel either way.
     """
+    rest = [c for c in df.columns if c not in keys]
+    by = order_by[0] if len(order_by) == 1 and isinstance(order_by[0], str) else None
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if by in rest and isinstance(df.schema[by].dataType, T.IntegralType) and all(isinstance(df.schema[c].dataType, fixed) for c in rest):
+        # a null comes first in the order; as a least value it would be passed over
+        rank = F.coalesce(F.col(f"`{by}`").cast("long"), F.lit(-(1 << 63)))
+        return df.groupBy(*keys).agg(*(F.min_by(f"`{c}`", rank).alias(c) for c in rest)).select(df.columns)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
     return df.withColumn("__rn", first).filter(F.col("__rn") == 1).drop("__rn")
 

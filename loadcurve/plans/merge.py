@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadcurve.functions.times import as_timestamp
-from loadcurve.operators.diagnostics import join_success, key_coverage, range_alignment
+from loadcurve.operators.diagnostics import join_success, key_coverage, range_alignment, success_counts, with_success_shares
 from loadcurve.operators.joins import METADATA_COLUMNS, join_metadata, join_weather
 from loadcurve.operators.timeseries import deduplicate_ordered
 from loadcurve.sources.sinks import read_back, write_table
@@ -50,15 +50,19 @@ def located_ranges(demand: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def merge_diagnostics(
-    demand: DataFrame, metadata: DataFrame, weather: DataFrame, merged: DataFrame, measure: str = "temperature_2m"
+    demand: DataFrame, metadata: DataFrame, weather: DataFrame, merged: DataFrame, measure: str = "temperature_2m",
+    counts: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Key coverage, range alignment and join success.  Pass the written merge to avoid recomputing it."""
+    """Key coverage, range alignment and join success.
+
+    ``counts``, one row of ``success_counts`` seen while the merge was written, saves reading it again.
+    """
     ranges = located_ranges(demand, metadata)
     weather = as_timestamp(weather)
     return {
         "coverage": key_coverage(ranges, weather),
         "ranges": range_alignment(ranges, weather),
-        "success": join_success(merged, measure),
+        "success": join_success(merged, measure) if counts is None else with_success_shares(counts),
     }
 
 
@@ -72,9 +76,11 @@ def run_merge(
     weather_order: Sequence | None = None,
     unit: str = "hour",
 ) -> dict[str, DataFrame]:
-    """Write the merged table, then diagnose what was written."""
+    """Write the merged table and diagnose it; join success is counted by the tasks that write."""
     demand, metadata, weather = load_tables(spark, demand_path, metadata_path, weather_path)
     merged = merge_readings(demand, metadata, weather, weather_order=weather_order, unit=unit)
-    write_table(merged, target, inputs=[demand_path, metadata_path, weather_path])
+    seen = write_table(merged, target, inputs=[demand_path, metadata_path, weather_path], observe=success_counts(measure))
     written = read_back(spark, target)
-    return {"merged": written, **merge_diagnostics(demand, metadata, weather, written, measure)}
+    names = list(seen)
+    counts = spark.range(1).select(*(F.lit(seen[n]).cast("long").alias(n) for n in names))
+    return {"merged": written, **merge_diagnostics(demand, metadata, weather, written, measure, counts)}

@@ -13,6 +13,8 @@ from loadcurve.operators.regression import (
     assemble, evaluate, feature_importance, fit_boosted_trees, fit_linear, save_model, score, skipped_rows, split_by_time,
 )
 
+from loadcurve.session import stored
+
 
 @dataclass(frozen=True)
 class Trained:
@@ -35,10 +37,11 @@ def train_and_evaluate(
 ) -> Trained:
     """Both models on the same training rows; the test rows are scored and measured in one pass.
 
-    ``features`` should be a written table, since training reads it several times.
+    Training reads its rows several times, so they are stored assembled, once.
     """
     columns = list(columns or numeric_columns(features))
     train, test = split_by_time(assemble(features, columns, target), test_ratio=test_ratio)
+    train = stored(train)
     linear = fit_linear(train)
     boosted = fit_boosted_trees(train, **boosting)
     if models_path:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Sequence
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,10 +41,18 @@ def _refuse_input_path(df: DataFrame, path: str, inputs: Iterable[str] | None) -
             raise ValueError(f"refusing to overwrite an input of the plan: {path}")
 
 
-def write_table(df: DataFrame, path: str, inputs: Iterable[str] | None = None) -> None:
-    """Overwrite ``path`` with the frame."""
+def write_table(df: DataFrame, path: str, inputs: Iterable[str] | None = None, observe: Sequence[Column] = ()) -> dict:
+    """Overwrite ``path`` with the frame; returns the values of the ``observe`` aggregates over the rows written.
+
+    They are gathered by the tasks that write, so nothing is read again.
+    """
     _refuse_input_path(df, path, inputs)
-    df.write.mode("overwrite").parquet(path)
+    if not observe:
+        df.write.mode("overwrite").parquet(path)
+        return {}
+    seen = Observation()
+    df.observe(seen, *observe).write.mode("overwrite").parquet(path)
+    return seen.get
 
 
 def write_partitioned(
@@ -65,6 +75,44 @@ def write_partitioned(
     laid_out.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def write_by_series(
+    df: DataFrame, path: str, table: str, key: str = "unique_id", timestamp: str = "timestamp", buckets: int = 200,
+    inputs: Iterable[str] | None = None,
+) -> DataFrame:
+    """Write a catalog table at ``path`` in one file per bucket of series, sorted by series and time, and return it.
+
+    Windows over a series and joins or groupings on ``key`` then start without a shuffle.  Choose ``buckets`` so that
+    one of them, the share of ``1 / buckets`` of the series, fits a task.
+    """
+    _refuse_input_path(df, path, inputs)
+    laid_out = df.repartition(buckets, key)
+    writer = laid_out.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key, timestamp)
+    writer.format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def read_time_range(
+    spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None, timestamp: str = "timestamp"
+) -> DataFrame:
+    """Rows from ``start`` on and before ``end`` of a table in year and month folders; only folders of that time are listed.
+
+    Datetimes without zone are read in the session's zone, as the folders' years and months are.
+    """
+    df, zone = read_back(spark, path), ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
+    month = F.col("year") * 12 + F.col("month")
+    years = F.col("year")
+    for bound, is_start in ((start, True), (end, False)):
+        if bound is None:
+            continue
+        local = bound.replace(tzinfo=zone) if bound.tzinfo is None else bound.astimezone(zone)
+        at, number = F.lit(local), F.lit(local.year * 12 + local.month)
+        stamp = F.col(f"`{timestamp}`")
+        # a bound on whole folders first: comparisons of partition columns prune the listing
+        df = df.filter(years >= local.year).filter(month >= number) if is_start else df.filter(years <= local.year).filter(month <= number)
+        df = df.filter(stamp >= at) if is_start else df.filter(stamp < at)
+    return df
+
+
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -235,3 +235,26 @@ def test_wide_rows_are_not_broadcast(spark):
     small = fits_broadcast(wide, max_bytes=900_000)
     plan = attach(spark.range(5).withColumnRenamed("id", "k"), wide, ["k"], spread_by=["k"], small=small)
     assert "__salt" in plan._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_bitmap_filter_keeps_all_matches(spark, bits):
+    keys = spark.range(0, 3000, 30).select(F.col("id").cast("int").alias("k"), F.lit("x").alias("g")).union(spark.sql("select null, 'x'"))
+    reference = spark.range(100_000).select((F.col("id") % 50_000).alias("k"), F.when(F.col("id") % 3 != 1, "x").alias("g"), F.col("id").alias("v"))
+    kept = joins.possible_rows(reference, keys, ["k", "g"], bits)
+    matches = reference.join(keys, ["k", "g"], "left_semi")
+    assert kept.columns == reference.columns
+    assert kept.join(keys, ["k", "g"], "left_semi").count() == matches.count() > 0
+    assert kept.count() < (1.05 * matches.count() if bits > 64 else reference.count() + 1)
+
+
+def test_existing_and_absent_keys_exchange_few_rows(spark):
+    keys = spark.range(100).select((F.col("id") * 7).alias("k"))
+    reference = spark.range(200_000).select((F.col("id") % 350).alias("k")).filter("k % 2 = 0 or k > 340").union(spark.range(5).select(F.lit(None).cast("long")))
+    found, absent = joins.existing_keys(keys, reference, ["k"]), joins.absent_keys(keys, reference, ["k"])
+    want = {k for k in range(0, 700, 7) if k < 350 and (k % 2 == 0 or k > 340)}
+    assert {r.k for r in found.collect()} == want and {r.k for r in absent.collect()} == set(range(0, 700, 7)) - want
+    possible = joins.possible_rows(reference, keys, ["k"])
+    assert possible.select("k").distinct().count() == len(want) and possible.count() < reference.count() / 5
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_construct_agg" in plan

@@ -113,3 +113,63 @@ def test_overwrite_guard_follows_relative_paths_and_links(spark, frame, tmp_path
         with pytest.raises(ValueError):
             sinks.write_table(spark.read.parquet(f"{tmp_path}/in"), target, inputs=[f"{tmp_path}/in"])
     assert spark.read.parquet(f"{tmp_path}/in").count() == 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture()
+def readings(frame):
+    return frame([(k, at(24 * d + h), float(d)) for k in ("a", "b", "c") for d in range(0, 90, 3) for h in (0, 5)], READING)
+
+
+def test_time_ranges_read_only_their_folders(spark, readings, tmp_path):
+    path = f"{tmp_path}/months"
+    dated = readings.select("*", F.year("timestamp").alias("year"), F.month("timestamp").alias("month"))
+    sinks.write_partitioned(dated, path)
+    for start, end in ((at(24 * 40), at(24 * 50)), (None, at(24 * 31)), (at(24 * 31), None), (at(24 * 20), at(24 * 20)), (None, None)):
+        got = sinks.read_time_range(spark, path, start, end)
+        want = readings.filter(F.col("timestamp") >= start if start else F.lit(True)).filter(F.col("timestamp") < end if end else F.lit(True))
+        assert sorted(map(str, got.select(readings.columns).collect())) == sorted(map(str, want.collect()))
+    february = sinks.read_time_range(spark, path, at(24 * 40), at(24 * 50))
+    filters = plan(february).split("PartitionFilters: [")[1].split("], PushedFilters")[0]
+    assert "year" in filters and "month" in filters
+    assert [r.month for r in february.select("month").distinct().collect()] == [2]
+
+
+def test_tables_by_series_need_no_shuffle(spark, readings, tmp_path):
+    from loadcurve.operators.rolling import rolling_features
+    from loadcurve.operators.timeseries import intervals
+
+    table = sinks.write_by_series(readings, f"{tmp_path}/series", "readings_by_series", buckets=4)
+    assert sorted(map(str, table.collect())) == sorted(map(str, readings.collect()))
+    for windowed in (rolling_features(table, windows=(3, 6)), intervals(table)):
+        assert "Exchange" not in plan(windowed)
+    assert "Exchange" in plan(rolling_features(readings, windows=(3, 6)))
+    options = dict(windows=(3, 6), stats=["mean", "max"])
+    assert sorted(map(str, rolling_features(table, **options).collect())) == sorted(map(str, rolling_features(readings, **options).collect()))
+    with pytest.raises(ValueError):
+        sinks.write_by_series(table, f"{tmp_path}/series", "readings_by_series", buckets=4)
+
+
+def test_metrics_are_observed_while_writing(spark, readings, tmp_path):
+    seen = sinks.write_table(readings, f"{tmp_path}/observed", observe=[F.count(F.lit(1)).alias("n"), F.max("y").alias("top")])
+    assert seen == {"n": readings.count(), "top": 87.0}
+    assert sinks.write_table(readings, f"{tmp_path}/observed") == {}
+
+
+def test_merge_counts_success_while_writing(spark, frame, tmp_path):
+    from loadcurve.operators.diagnostics import join_success
+    from loadcurve.plans.merge import run_merge
+
+    demand = frame([(k, at(h), 1.0) for k in ("a", "b", "x") for h in range(4)], READING)
+    metadata = frame([("a", "L", "c", 1.0), ("b", "M", "c", 2.0)], "unique_id string, location_id string, building_class string, cluster_size double")
+    weather = frame([("L", at(h), 10.0 + h) for h in range(3)], "location_id string, timestamp timestamp, temperature_2m double")
+    paths = {n: f"{tmp_path}/{n}" for n in ("demand", "metadata", "weather")}
+    for name, df in (("demand", demand), ("metadata", metadata), ("weather", weather)):
+        df.write.parquet(paths[name])
+    reports = run_merge(spark, paths["demand"], paths["metadata"], paths["weather"], f"{tmp_path}/merged")
+    assert "FileScan" not in plan(reports["success"])
+    assert reports["success"].first() == join_success(reports["merged"]).first()
+    assert (reports["success"].first().n_rows, reports["success"].first().n_located_unmatched) == (12, 5)

@@ -115,3 +115,16 @@ def test_scalar_guards(frame):
     assert [tuple(r) for r in text.collect()] == [(7.0, "7"), (None, "x"), (None, "?")]
     shown = frame([(5400,)], "s int").select(scalars.as_interval(F.col("s")).cast("string").alias("i")).first()[0]
     assert shown == "INTERVAL '0 01:30:00' DAY TO SECOND"
+
+
+def test_first_row_per_key_without_sort(spark, frame):
+    rows = [("a", 3, 1.0), ("a", 1, None), ("a", 2, 5.0), ("b", None, 7.0), ("b", 0, 8.0), (None, 5, 1.0), (None, 4, 2.0), ("c", None, None)]
+    df = frame(rows, "k string, n int, v double").repartition(4)
+    first = timeseries.deduplicate_ordered(df, ["k"], ["n"])
+    assert {tuple(r) for r in first.collect()} == {("a", 1, None), ("b", None, 7.0), (None, 4, 2.0), ("c", None, None)}
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "Sort" not in plan and "Window" not in plan
+    # an order of several columns, or values of any width, keep the window
+    assert "Window" in timeseries.deduplicate_ordered(df, ["k"], ["n", "v"])._jdf.queryExecution().executedPlan().toString()
+    wide = timeseries.deduplicate_ordered(df.withColumn("s", F.lit("s")), ["k"], ["n"])
+    assert {r.k: r.n for r in wide.collect()} == {"a": 1, "b": None, None: 4, "c": None}
