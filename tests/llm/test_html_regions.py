@@ -46,6 +46,43 @@ def test_short_blocks_share_the_region_of_their_container():
     assert main_text(page(aside + inner + aside)) == "\n".join(lines)
 
 
+def test_self_closed_elements_swallow_nothing():
+    inner = f"<article><p>{BODY}</p><svg/><p>After svg.</p><iframe/><aside/><p>After <span/>frame.</p><math/>End.</article>"
+    assert main_text(page(inner)) == f"{BODY}\nAfter svg.\nAfter frame.\nEnd."
+
+
+def test_short_paragraphs_in_wrappers_stay():
+    inner = f"<div id='story'><div><p>Short.</p></div><div><p>{BODY * 4}</p></div><div><p>End.</p></div></div>"
+    links = "<div><a href='x'>one</a> <a href='y'>two</a></div>"
+    for before in ("", links):
+        assert main_text(page(before + inner + links)) == f"Short.\n{BODY * 4}\nEnd."
+    apart = f"<div><p>{BODY * 4}</p></div><div><p>Between.</p></div>{links}<div><p>{BODY * 4}</p></div>"
+    assert main_text(page(apart)) == f"{BODY * 4}\nBetween.\n{BODY * 4}"
+
+
+def test_title_in_a_container_of_its_own():
+    assert main_text(page(f"<div><h1>Title</h1></div><div><p>{BODY * 3}</p></div>")) == f"Title\n{BODY * 3}"
+
+
+def test_every_article_stays():
+    inner = f"<article><p>{BODY * 3}</p></article><div><a href='x'>More of this</a></div><article><p>Tiny.</p></article>"
+    assert main_text(page(inner)) == f"{BODY * 3}\nTiny."
+
+
+def test_class_names_count_as_a_whole():
+    inner = (
+        f"<article><p>{BODY}</p><section id='share-of-market'><p>Shares.</p></section><div class='ad-free-text lead'>Free.</div>"
+        "<div class='ad_slot_2'>Buy.</div><div class='site-footer'>Foot.</div><div class='share-buttons'>Tell.</div><p class='x comments'>Me too.</p></article>"
+    )
+    assert main_text(page(inner)) == f"{BODY}\nShares.\nFree."
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "u", f"<p>{BODY}</p>", "a", 2), (None, None, f"<p>{BODY}</p>", "b", 3)]
+    out = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"))
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and {r.text for r in out.collect()} == {BODY}
+
+
 def test_broken_and_empty_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<nav>only menu</nav>"), (4, "u", "plain &lt;text&gt;"), (5, "u", "<p>a<div>b</p></article>c"),
             (5, "u", "<article><p>" + "very long " * 200_000)]
