@@ -12,7 +12,6 @@ from loadcurve.operators.projections import numeric_columns
 from loadcurve.operators.regression import (
     assemble, evaluate, feature_importance, fit_boosted_trees, fit_linear, save_model, score, skipped_rows, split_by_time,
 )
-
 from loadcurve.session import stored
 
 
