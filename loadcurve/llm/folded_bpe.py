@@ -15,13 +15,16 @@ numbered words in the same task, so nothing is shuffled and each word is folded
 Bytes are handled as characters of ISO-8859-1, which has one for each byte.
 
 Defined results: a null text counts as empty and has no ids; repeated rows give repeated rows; ids
-that the vocabulary lacks fail to decode.
+that the vocabulary lacks fail to decode; an empty table gives an empty table; extra columns of any name are
+ignored.  Words of any length are folded whole: the default takes n log n steps for a word of n bytes, the
+expression form, which is for ordinary text, n squared.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadcurve.llm.columns import picked, type_of
-from loadcurve.llm.prefix_counts import CHUNK, WORD, Remembered
+from loadcurve.llm.prefix_counts import CHUNK, WORD
 
 MAPS = 1 << 15
 # Words numbered by a task before it starts anew.
@@ -40,6 +43,8 @@ NUMBERED = 500_000
 # Words, and chunks of words, remembered by a worker that folds in Python.
 FOLDED = 300_000
 NO_RANK = 1 << 60
+# Words and chunks beyond this length are folded by a heap, and not remembered.
+LONG_WORD = 256
 LATIN = "ISO-8859-1"
 
 
@@ -169,19 +174,40 @@ def encoded_words(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text
     return cut.select("doc_id", "words", F.transform("fresh", code).alias("coded"), "anew")
 
 
+class TwoGenerations(dict):
+    """A dictionary that computes what it lacks; a full one becomes the older one, and what is used again returns."""
+
+    def __init__(self, compute, most: int):
+        super().__init__()
+        self.compute, self.most = compute, most
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordFolder:
     """Ids of words by the same fold, in plain Python, with distinct words and chunks remembered."""
 
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
         self.pieces = {rank: token for token, rank in self.ranks.items()}
-        self.words = Remembered(self.fold, FOLDED)
-        self.chunks = Remembered(self._chunk, FOLDED)
+        self.words = TwoGenerations(self.fold, FOLDED)
+        self.chunks = TwoGenerations(self._chunk, FOLDED)
 
     def fold(self, word: str) -> tuple[int, ...]:
         data, ranks = word.encode(), self.ranks
         if data in ranks:
             return (ranks[data],)
+        if len(data) > LONG_WORD:
+            return self._fold_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         found = [ranks.get(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]
         while found:
@@ -197,13 +223,36 @@ class WordFolder:
                 found[i] = ranks.get(parts[i] + parts[i + 1], NO_RANK)
         return tuple(ranks[p] for p in parts)
 
+    def _fold_long(self, data: bytes) -> tuple[int, ...]:
+        """The same merges in the same order, from a heap of pairs over linked parts: n log n for any length."""
+        ranks, n = self.ranks, len(data)
+        parts: list[bytes | None] = [data[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[data[i : i + 2]], i) for i in range(n - 1) if data[i : i + 2] in ranks]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            # a pair that has changed since has another rank, or none
+            if parts[i] is None or j >= n or ranks.get(parts[i] + parts[j]) != rank:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] < n and (new := ranks.get(parts[left] + parts[after[left]])) is not None:
+                    heapq.heappush(heap, (new, left))
+        return tuple(ranks[p] for p in parts if p is not None)
+
     def _chunk(self, chunk: str) -> tuple[int, str, bytes]:
         """(number of ids, ids, bytes that the ids decode to)."""
-        ids = [i for word in WORD.findall(chunk) for i in self.words[word]]
+        ids = [i for word in WORD.findall(chunk) for i in (self.words[word] if len(word) <= LONG_WORD else self.fold(word))]
         return len(ids), ",".join(map(str, ids)), b"".join(map(self.pieces.__getitem__, ids))
 
     def coded(self, text: str | None) -> list[tuple[int, str, bytes]]:
-        return list(map(self.chunks.__getitem__, CHUNK.findall(text or "")))
+        known = self.chunks.__getitem__
+        return [known(c) if len(c) <= LONG_WORD else self._chunk(c) for c in CHUNK.findall(text or "")]
 
 
 @lru_cache(maxsize=2)

@@ -45,3 +45,32 @@ def test_report_and_empty_table(spark):
     for native in (True, False):
         assert sorted(map(tuple, round_trip_report(docs, PATH, native=native).collect())) == want
         assert round_trip_report(docs.limit(0), PATH, native=native).count() == 0
+
+
+def test_long_words_equal_the_library():
+    """Words beyond the memory of short ones, up to a million letters without a break, within seconds."""
+    import time
+
+    from loadcurve.llm.folded_bpe import LONG_WORD, WordFolder
+
+    rng, lib, folder = random.Random(4), library(), WordFolder(PATH)
+    ids = lambda text: [int(i) for n, shown, _ in folder.coded(text) for i in shown.split(",") if n]
+    for n in (LONG_WORD - 1, LONG_WORD, LONG_WORD + 1, 3000):
+        for letters in ("ab", "thering on", "é日本x"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            assert ids(word) == lib.encode_ordinary(word) and folder.fold(word.replace(" ", "")) == folder._fold_long(word.replace(" ", "").encode())
+    started = time.time()
+    word = "".join(rng.choice("etaoinshr") for _ in range(1_000_000))
+    assert ids("so " + word) == lib.encode_ordinary("so " + word)
+    assert time.time() - started < 60 and max(map(len, folder.words)) <= LONG_WORD
+
+
+def test_words_are_forgotten_in_generations():
+    from loadcurve.llm.folded_bpe import TwoGenerations
+
+    made = []
+    known = TwoGenerations(lambda k: made.append(k) or (k,), 3)
+    for k in "abcabdeab":
+        assert known[k] == (k,)
+        assert len(known) <= 3 and len(known.older) <= 3
+    assert made.count("a") == made.count("b") == 1 and set(made) == set("abcde")
