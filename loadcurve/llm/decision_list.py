@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadcurve.llm.columns import picked
+from loadcurve.llm.columns import one_per_id, picked
 
 # Labelled rows that the list is learned from, at most.
 SAMPLE_ROWS = 10_000
@@ -171,7 +171,8 @@ def fit_rules(
     """Learn from at most ``sample_rows`` labelled documents (label 0: poor), chosen by a hash of their ids."""
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label")).dropna()
     chosen = marked.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "label").limit(sample_rows)
-    rows = picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id")
+    # one row per id, however often documents repeat it, so that the sample is as bounded as the labels drawn
+    rows = one_per_id(picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id"))
     named = features()
     counted = with_statistics(rows).select("draw", "label", *(e.alias(n) for n, e in named.items()), base_failed().alias("failed"))
     # no filter in Spark: pushed below the statistics, it would compute them again inside their lambdas

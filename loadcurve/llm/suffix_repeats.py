@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadcurve.llm.columns import picked
+from loadcurve.operators.skew import attach
+from loadcurve.session import stored
 
 LENGTH = 100
 GRAM = 40
@@ -41,6 +43,8 @@ HOT = 20_000
 # Bytes of a text that are hashed at once, and bytes of suffixes sorted into one run.
 HASHED_AT_ONCE = 1 << 19
 RUN_BYTES = 48 << 20
+# Bytes of suffixes that are merged in one part.
+PIECE_BYTES = 16 << 20
 NO_ID = -(1 << 63)
 # Parts into which the rows of a k-gram beyond ``hot`` occurrences are dealt to learn that it is shared.
 SALTS = 64
@@ -272,8 +276,12 @@ def _with_leads(docs: DataFrame, id_col: str, text_col: str, row: bool = False)
     digest = F.sha2("text", 256)
     source = source.select(F.xxhash64("doc_id", digest).alias("key"), "doc_id", "text", *rest)
     marks = source.select("key", "doc_id", digest.alias("digest"))
-    first = marks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copies = marks.join(first.filter("first < last"), "digest").filter("doc_id > first")
+    first = marks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    # narrow rows of texts under several ids; a text that many documents copy is joined in parts
+    first = stored(first.filter("first < last").select("digest", "first", "n"))
+    several = first.select("digest", "first")
+    counts = first.select("digest", "n")
+    copies = attach(marks, several, ["digest"], "inner", spread_by=["doc_id"], small=False, counts=counts).filter("doc_id > first")
     copied = copies.groupBy("key").agg(F.collect_set("digest").alias("copied"))  # one, unless hashes collide
     joined = source.join(copied, "key", "left")
     lead = F.col("copied").isNull() | ~F.array_contains("copied", F.sha2("text", 256))
@@ -295,12 +303,17 @@ def shared_grams(every: DataFrame, hot: int) -> DataFrame:
     return dealt.join(totals.select("gram", "hot", F.explode(salts).alias("salt")), ["gram", "salt"]).select("gram", "key", "hot")
 
 
-def removed_spans(leads: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, pieces: int | None = None) -> DataFrame:
+def piece_count(docs: DataFrame, text_col: str = "text", piece_bytes: int = PIECE_BYTES) -> int:
+    """Parts to merge suffixes in: at most ``piece_bytes`` each on average, even if all text is shared."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.lit(0))).first()[0]
+    return max(-(-size // piece_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
+
+
+def removed_spans(leads: DataFrame, pieces: int, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(key, spans): sorted, maybe overlapping (start, stop, text) byte spans of lead texts to remove.
 
     ``text`` is the digest of the text that a span belongs to.
     """
-    pieces = pieces or int(leads.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     texts = leads.filter("lead").select("key", "doc_id", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +416,7 @@ def without_repeats(
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept are the remaining bytes of each row's text."""
     leads = _with_leads(docs, id_col, text_col)
-    spans = removed_spans(leads, length, gram, hot, pieces)
+    spans = removed_spans(leads, pieces or piece_count(docs, text_col), length, gram, hot)
     joined = leads.join(spans, "key", "left").select("doc_id", "text", "lead", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
 
@@ -430,6 +443,7 @@ def texts_without_repeats(
     A character of which a cut takes some bytes goes as a whole.  A column named ``chars_col``, if
     there is one, is set to the new number of characters; null texts stay null.
     """
+    options["pieces"] = options.get("pieces") or piece_count(docs, text_col)
     spans = removed_spans(_with_leads(docs, id_col, text_col), **options)
     length = options.get("length", LENGTH)
     rows = _with_leads(docs, id_col, text_col, row=True).join(spans, "key", "left").select("lead", "spans", "text", "row")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadcurve.llm.columns import picked, type_of
+from loadcurve.llm.columns import one_per_id, picked, type_of
 from loadcurve.llm.prefix_counts import Remembered
 from loadcurve.session import stored
 
@@ -257,7 +257,8 @@ def fit_scorer(
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label")).dropna()
     marked = marked.filter(~held_out(F.col("doc_id")))
     drawn = marked.orderBy(F.xxhash64("doc_id"), "label").limit(sample_rows).dropDuplicates(["doc_id"])
-    joined = picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(drawn), "doc_id")
+    # one row per id, however often documents repeat it
+    joined = one_per_id(picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(drawn), "doc_id"))
     sample = stored(joined.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")))
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, other = counts.get(1, 0), counts.get(0, 0)

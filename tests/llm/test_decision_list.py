@@ -64,3 +64,12 @@ def test_held_out_accuracy(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert quality_verdicts(empty, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def test_repeated_ids_enter_the_sample_once(spark):
+    from loadcurve.llm.columns import one_per_id
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (None, "x"), (2, None)] * 5, "doc_id long, text string")
+    out = [tuple(r) for r in one_per_id(docs).collect()]
+    assert len(out) == 3 and {d for d, _ in out} == {1, 2, None}
+    assert sorted(map(str, out)) == sorted(str(tuple(r)) for r in one_per_id(docs.repartition(3)).collect())

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadcurve.llm import suffix_repeats
-from loadcurve.llm.suffix_repeats import common_prefix, merge_runs, repeat_report, texts_without_repeats
+from loadcurve.llm.suffix_repeats import common_prefix, merge_runs, repeat_report, texts_without_repeats, without_repeats
 
 
 def plain(rows, length):
@@ -122,3 +122,26 @@ def test_blocks_of_a_text_do_not_move_anchors(monkeypatch):
     for block in (128, 1000, 9999):
         monkeypatch.setattr(suffix_repeats, "HASHED_AT_ONCE", block)
         assert by_window() == whole
+
+
+def test_pieces_follow_the_bytes_of_text(spark):
+    from loadcurve.llm.suffix_repeats import piece_count
+
+    docs = spark.range(1000).selectExpr("id as doc_id", "repeat('abcdefgé', 10) as text")
+    assert piece_count(docs, piece_bytes=900) == 100 and piece_count(docs.union(docs), piece_bytes=900) == 200
+    assert piece_count(docs.limit(0)) == piece_count(docs) == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_many_copies_of_a_text_are_joined_in_parts(spark):
+    rows = [(i, "copied " * 30 + "end" * (i % 7 == 0)) for i in range(400)] + [(None, "copied " * 30)] * 50 + [(3, "copied " * 30)] * 9
+    out = without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted([(r.doc_id, r.n_bytes, r.n_removed) for r in out.collect()], key=repr)
+    want = sorted([(d, n, gone) for d, n, gone, _, _ in plain(rows, 100)], key=repr)
+    assert got == want
+
+
+def test_one_very_long_text(spark):
+    rows = [(1, "x" + "0123456789abcdefghij" * 60_000), (2, "unlike " * 40)]
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # every window but the first twenty of the run starts earlier
+    assert out[1] == (1_200_001, 1_200_001 - 21, 1)
