@@ -38,3 +38,16 @@ def test_rules(spark):
 def test_empty_table(spark):
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
+def test_hot_urls_and_many_rule_shapes(spark):
+    urls = [None] * 300 + ["no scheme"] * 300 + ["https://www.example.org/es/1"] * 400 + URLS
+    rows = list(enumerate(urls))
+    rules = RULES + [(".".join("abcdefgh"[-k:]) + ".com", "/" + "p" * n, "block") for k in range(1, 9) for n in range(120)]
+    pages = spark.createDataFrame(rows + [(None, "https://h.com/pppp/x")] * 50, "page_id long, url string")
+    out = judge_urls(pages, spark.createDataFrame(rules, "host string, path string, action string"))
+    got = sorted(map(tuple, out.collect()), key=repr)
+    assert got == sorted([(i, *plain(u, rules)) for i, u in rows + [(None, "https://h.com/pppp/x")] * 50], key=repr)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring_index") < 5, "one expression for all shapes of rules"
+    assert plan.count("__salt") > 0
