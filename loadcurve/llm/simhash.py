@@ -8,7 +8,8 @@ pair in it is beyond the radius.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other; repeated
 rows get equal results; a null id is never a component's id unless all its ids are null; an empty
-table gives an empty table.
+table gives an empty table.  Texts of any length are hashed in runs of shingles; of several links of
+one pair any serves, so ties do not matter; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from loadcurve.llm.columns import picked, type_of
 from loadcurve.llm.components import connected_components
+from loadcurve.operators.skew import attach
 from loadcurve.session import stored
 
 SEED = 42
@@ -207,15 +209,17 @@ def near_duplicate_components(
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
     Links of different fingerprints are found between distinct fingerprints only, so copies cost
-    nothing; what is stored is one id and one fingerprint per row.
+    nothing; what is stored is one id and one fingerprint per row.  A fingerprint that many rows share
+    is joined to its component in parts by its count.
     """
-    each = stored(fingerprints(docs, id_col, text_col, shingle))
-    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    each = stored(fingerprints(docs, id_col, text_col, shingle).withColumn("place", F.monotonically_increasing_id()))
+    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     roots = connected_components(near_links(nodes.select("fp"), radius, refine_beyond), "a", "b")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = attach(each, named, ["fp"], "inner", spread_by=["place"], small=False, counts=nodes.select("fp", "n"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

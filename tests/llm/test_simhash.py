@@ -118,3 +118,12 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
 def test_empty_tables(spark, rows):
     got = near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [tuple(r) for r in got] == [(None, "0" * 16, None) for _ in rows]
+
+
+def test_hot_fingerprints_are_joined_in_parts(spark):
+    rows = [(None, "one text that everyone copies")] * 400 + [(i, None) for i in range(300)] + sample_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = near_duplicate_components(docs)
+    got = sorted(map(tuple, out.collect()), key=repr)
+    assert got == sorted(plain_components(rows), key=repr)
+    assert "__salt" in out._jdf.queryExecution().optimizedPlan().toString()
