@@ -5,7 +5,9 @@ sequential covering grows conjunctions of thresholds that tell poor documents ap
 held-back rows, and puts the accepted ones into one ordered conditional expression.
 
 Defined results: a null text has no words and zero statistics, and fails the base rule; repeated
-rows give repeated rows; without labels the list is empty and the base rule alone decides.
+rows give repeated rows; without labels the list is empty and the base rule alone decides; an empty
+table gives an empty one.  Of rules that cover a document the first decides, of rows that repeat an
+id one enters the sample.  Texts of any length are read whole; extra columns of any name stay apart.
 """
 
 from __future__ import annotations
@@ -184,22 +186,25 @@ def fit_rules(
     return learn_rules(columns, poor, np.array([r.draw % 3 == 0 for r in sample]))
 
 
-def rejected(rules: Sequence[Rule]) -> Column:
-    """The decision list as one ordered conditional expression; documents that no rule covers are kept."""
+def deciding_rule(rules: Sequence[Rule]) -> Column:
+    """The decision list as one ordered conditional expression: the number, from 1, of the first rule that covers the
+    document; null where none does."""
     if not rules:
-        return F.lit(False)
-    chain = F.when(rules[0].expression(), True)
-    for rule in rules[1:]:
-        chain = chain.when(rule.expression(), True)
-    return chain.otherwise(False)
+        return F.lit(None).cast("int")
+    chain = F.when(rules[0].expression(), 1)
+    for number, rule in enumerate(rules[1:], 2):
+        chain = chain.when(rule.expression(), number)
+    return chain
 
 
 def judged(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> DataFrame:
-    """``docs`` with the base statistics, base_failed and kept."""
+    """``docs`` with the base statistics, base_failed, kept and rule, the number of the rule that rejects the document
+    (null where it is kept or the base rule rejects it)."""
     # the partition number keeps filters on the verdicts from being pushed below the statistics,
     # where they would compute them again inside their lambdas
     df = with_statistics(docs, text_col).withColumn("base_failed", base_failed() & (F.spark_partition_id() >= 0))
-    return df.withColumn("kept", ~F.col("base_failed") & ~rejected(rules)).drop("more")
+    df = df.withColumn("rule", F.when(~F.col("base_failed"), deciding_rule(rules)))
+    return df.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop("more")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

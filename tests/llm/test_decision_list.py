@@ -42,6 +42,15 @@ def test_rules_are_ordered_expressions(spark):
     assert {r.doc_id: r.kept for r in judged(docs, [rule]).collect()} == {1: False, 2: True}
 
 
+def test_first_covering_rule_decides(spark):
+    rules = [Rule((("words", True, 90.0),)), Rule((("symbol_share", True, 0.2),)), Rule((("words", True, 60.0),))]
+    texts = {1: ("w{}#", 100), 2: ("w{}#", 70), 3: ("word{}", 70), 4: ("word{}", 55), 5: ("w{}#", 20)}
+    docs = spark.createDataFrame([(d, " ".join(w.format(i) for i in range(n))) for d, (w, n) in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.rule, r.kept, r.base_failed) for r in judged(docs, rules).collect()}
+    assert got == {1: (1, False, False), 2: (2, False, False), 3: (3, False, False), 4: (None, True, False), 5: (None, False, True)}
+    assert {r.rule for r in judged(docs, []).collect()} == {None}
+
+
 def test_covering_finds_a_conjunction():
     rng = np.random.default_rng(1)
     x = {"a": rng.random(4000), "b": rng.random(4000), "c": rng.random(4000)}
