@@ -8,7 +8,9 @@ it (quotation marks or reporting verbs make a quotation, a second person makes a
 logistic regression turns a document's hits into a score.
 
 Defined results: a null, empty or unmatched text scores by the intercept alone; without labels of both
-kinds every text scores 0; rows that repeat get equal scores; ids may be null.
+kinds every text scores 0; rows that repeat get equal scores; ids may be null; an empty table gives an
+empty one.  Of terms equally near the alphabetically first is the hit; of rows that repeat an id one
+enters the sample.  Texts of any length are read whole; extra columns of any name stay apart.
 """
 
 from __future__ import annotations
@@ -136,7 +138,10 @@ class TermAutomaton:
 
 @dataclass
 class Scorer:
-    """Features of a text; ``clean`` are near words that ordinary documents use."""
+    """Features of a text; ``clean`` are near words that ordinary documents use.
+
+    All weights of the score are fitted; ``DECAY`` and ``QUOTED`` only shape the features.
+    """
 
     terms: Sequence[Term]
     clean: frozenset[str] = frozenset()
@@ -187,20 +192,24 @@ class Scorer:
         return found
 
     def features(self, text: str) -> list[float]:
+        """One, then weight of all hits, of the strongest, different terms, weight per word, hits that address someone and
+        hits inside quotations."""
         hits = self.hits(text)
         if not hits:
-            return [1.0, 0.0, 0.0, 0.0, 0.0]
+            return [1.0] + [0.0] * 6
         weights = [w * (QUOTED if quoted else 1.0) for _, w, _, quoted, _ in hits]
         distinct = len({t for t, *_ in hits})
         words = text.count(" ") + 1
-        return [1.0, math.log1p(sum(weights)), max(weights), math.log1p(distinct), min(5.0, 100 * sum(weights) / (words + 50))]
+        windows = [sum(a and not q for *_, q, a in hits), sum(q for *_, q, _ in hits)]
+        found = [math.log1p(sum(weights)), max(weights), math.log1p(distinct), min(5.0, 100 * sum(weights) / (words + 50))]
+        return [1.0, *found, *(math.log1p(n) for n in windows)]
 
     def score(self, text: str) -> float:
         if not len(self.coefficients):
             return 0.0
-        z = float(np.dot(self.coefficients, self.features(text)))
-        address = sum(1 for *_, quoted, addressed in self.hits(text) if addressed and not quoted) if z > -4 else 0
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z + 0.25 * min(address, 4)))))
+        # features without a coefficient do not count
+        z = sum(c * x for c, x in zip(self.coefficients, self.features(text)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def held_out(id_col: Column, folds: int = FOLDS) -> Column:
