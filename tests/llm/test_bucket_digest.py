@@ -1,11 +1,36 @@
 """Digests: equal texts, order of documents, and how well edits are told from other documents."""
 
 import hashlib
+import math
 import random
 
 from loadcurve.llm.bucket_digest import TRIPLETS, bucket_counts, difference, digest, edited_fingerprints, fingerprints, likeness
 
 
+def plain_digest(text):
+    """Triplets, quartiles and header by loops over single bytes."""
+    data, counts = (text or "").encode(), [0] * 256
+    for i in range(len(data)):
+        for salt, (j, k) in enumerate([(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]):
+            if i + k < len(data):
+                h = (data[i] * 0x9E3779B1 + data[i + j] * 0x85EBCA77 + data[i + k] * 0xC2B2AE3D + salt * 0x27D4EB2F) % 2**32
+                counts[((h ^ h >> 15) * 0x2C1B3C6D) % 2**32 >> 24] += 1
+    ordered = sorted(counts)
+    quartiles = ordered[64], ordered[128], ordered[192]
+    bits = "".join(f"{sum(n > q for q in quartiles):02b}" for n in counts)
+    length = min(255, round(math.log(len(data)) / math.log(1.2)) + 1) if data else 0
+    ratios = [16 * q // max(quartiles[2], 1) % 16 for q in quartiles[:2]]
+    return f"{length:02x}{ratios[0]:x}{ratios[1]:x}{int(bits, 2):0128x}"
+
+
+def test_digest_equals_plain_loops():
+    rng = random.Random(8)
+    texts = [None, "", "a", "ab", "abc", "abcd", "same " * 200, "é中" * 90]
+    texts += ["".join(rng.choice("abcdefgh é\n中") for _ in range(rng.randrange(1, 3000))) for _ in range(25)]
+    for text in texts:
+        assert digest(text) == plain_digest(text)
+
+
 def plain(rows):
     order = sorted(rows, key=lambda r: ((1, 0) if r[0] is None else (0, -r[0]), [-b for b in (r[1] or "").encode()] + [1]))
     out = []
