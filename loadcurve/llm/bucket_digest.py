@@ -7,7 +7,9 @@ is bounded, which makes it a likeness from 0 to 1.
 
 Defined results: a null text counts as empty; texts too short for a triplet are told apart by length
 alone; equal texts have equal digests.  Documents follow each other by descending id, rows that
-repeat an id by descending text, rows without id last; a single row is its own next document.
+repeat an id by descending text, rows without id last; a single row is its own next document.  An empty
+table gives an empty one; texts of any length are counted whole, in blocks; extra columns of any name are
+ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ and packed again, and the better packing stays.  The exchange ends after ``round
 when a turn saves no bin; every piece is packed either way.
 
 Defined results: a null or empty text is one piece that holds the end token alone; repeated rows are
-packed each for itself; an empty table gives an empty packing.
+packed each for itself; an empty table gives an empty packing.  Pieces of equal length are packed in order of
+id, piece and checksum; texts of any length are encoded whole and cut into pieces; extra columns of any name
+are ignored.
 """
 
 from __future__ import annotations

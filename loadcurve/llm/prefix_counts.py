@@ -6,7 +6,9 @@ follow from those of shorter prefixes, one pass over the word, without encoding
 Counts of whole texts are sums over words, whose counts are remembered per worker.
 
 Defined results: a null text counts as empty (0 tokens, 0 bytes); repeated rows give repeated rows;
-the vocabulary's special strings inside a text count as one token each, as the library reads them.
+the vocabulary's special strings inside a text count as one token each, as the library reads them.  An
+empty table gives an empty one; texts of any length are counted whole, in steps that grow with their length;
+extra columns of any name are ignored; ids may be null.
 """
 
 from __future__ import annotations

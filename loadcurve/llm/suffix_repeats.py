@@ -18,7 +18,8 @@ document's are known by their SHA-256 and never sorted.
 Defined results: a null text counts as empty; texts under ``length`` bytes lose nothing; rows that
 share an id (or have none) count as one document whose texts all start at 0, so repeated rows do not
 remove each other, while each text is cut at its own spans only; rows without id come first; ids must
-be whole numbers.
+be whole numbers.  An empty table gives an empty one; texts of any length are read whole; of equal
+passages the one with the smallest id, then the earliest start, stays; extra columns of any name stay apart.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loadcurve.llm.columns import picked
 from loadcurve.operators.skew import attach
@@ -456,7 +458,7 @@ def texts_without_repeats(
                 texts.append(_kept(data, _cuts(data, lead.as_py(), spans, length))[0].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(3)], ["kept", "row"])
 
-    cut = rows.mapInArrow(run, f"kept string, row {rows.schema['row'].dataType.simpleString()}")
+    cut = rows.mapInArrow(run, StructType([StructField("kept", StringType()), rows.schema["row"]]))
     new = {text_col: F.when(F.col("row").getField(text_col).isNotNull(), F.col("kept"))}
     if chars_col in docs.columns:
         kind = docs.schema[chars_col].dataType

@@ -350,4 +350,5 @@ def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t or "") < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold dots
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
