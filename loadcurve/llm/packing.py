@@ -21,7 +21,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loadcurve.llm.columns import picked, type_of
+from loadcurve.llm.columns import held, picked, type_of
 from loadcurve.session import stored
 
 PART_ROWS = 50_000
@@ -41,6 +40,8 @@ REMEMBERED = 300_000
 # Unknown words given to the library as one string, and characters of text learned from together.
 JOINED = 2_000
 BLOCK = 4_000_000
+# Rows whose texts are Python strings at a time.
+AT_ONCE = 1_000
 # The vocabulary's split pattern, for chunks without white space.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Texts whose characters are all in these ranges are cut at white space before they are encoded;
@@ -126,9 +127,8 @@ class ChunkEncoder:
         return next(self.encode_all([text]))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+    return held((ChunkEncoder, path), lambda: ChunkEncoder(path))
 
 
 def pieces(
@@ -139,18 +139,18 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary).encode_all, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for part in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encode([text or "" for text in batch.column(1).to_pylist()])):
+            for i, ids in enumerate(encode([text or "" for text in part.column(1).to_pylist()])):
                 ids = memoryview(ids + end)
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
-                    part = ids[4 * at : 4 * (at + capacity)]
+                    cut = ids[4 * at : 4 * (at + capacity)]
                     row.append(i)
                     piece.append(k)
                     start.append(at)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32())]
+                    length.append(len(cut) // 4)
+                    crc.append(zlib.crc32(cut))
+            columns = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32())]
             columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadcurve.llm.columns import one_per_id, picked, type_of
+from loadcurve.llm.columns import let_go, one_per_id, picked, texts_of, type_of
 from loadcurve.llm.prefix_counts import Remembered
 from loadcurve.session import stored
 
@@ -40,6 +40,8 @@ WINDOW = 6
 DECAY = 0.8  # weight kept per edit
 QUOTED = 0.4  # weight kept inside a quotation
 STATES = 200_000
+# Entries counted together in a worker before they are passed on.
+COUNTED = 50_000
 # Marks around words, and words of reporting and addressing in the corpus languages.
 EDGES = "\"'`.,;:!?()[]{}<>#*$%&|/\\-_~^+=@«»„“”‚‘’…¿¡"
 QUOTES = frozenset("\"«»„“”")
@@ -136,6 +138,31 @@ class TermAutomaton:
         return self.accepted[state]
 
 
+class Matcher:
+    """The term that a chunk between white space holds; knows nothing of who remembers its answers, so both are freed at once."""
+
+    def __init__(self, terms: Sequence[Term], clean: frozenset[str]):
+        self.words = {t.text: t for t in terms if not t.start_only}
+        self.starts = {t.text: t for t in terms if t.start_only}
+        self.lengths = sorted({len(s) for s in self.starts})
+        self.clean = clean
+        self.automaton = TermAutomaton(list(self.words))
+
+    def match(self, chunk: str) -> tuple[str, float, int] | None:
+        """(term, weight, edits) of one chunk between white space."""
+        word = chunk.strip(EDGES)
+        if word in self.words:
+            return word, self.words[word].weight, 0
+        for n in self.lengths:
+            start = self.starts.get(word[:n]) if len(word) >= n else None
+            if start is not None:
+                return start.text, start.weight, 0
+        if len(word) < 4 or word in self.clean:
+            return None
+        near = self.automaton.nearest(word)
+        return near and (near[0], self.words[near[0]].weight * DECAY ** near[1], near[1])
+
+
 @dataclass
 class Scorer:
     """Features of a text; ``clean`` are near words that ordinary documents use.
@@ -149,11 +176,7 @@ class Scorer:
     known: Remembered = field(init=False, repr=False)
 
     def __post_init__(self):
-        self.words = {t.text: t for t in self.terms if not t.start_only}
-        self.starts = {t.text: t for t in self.terms if t.start_only}
-        self.lengths = sorted({len(s) for s in self.starts})
-        self.automaton = TermAutomaton(list(self.words))
-        self.known = Remembered(self._match)
+        self.known = Remembered(Matcher(self.terms, self.clean).match)
 
     def __getstate__(self):
         return {"terms": self.terms, "clean": self.clean, "coefficients": self.coefficients}
@@ -161,20 +184,6 @@ class Scorer:
     def __setstate__(self, state):
         self.__init__(**state)
 
-    def _match(self, chunk: str) -> tuple[str, float, int] | None:
-        """(term, weight, edits) of one chunk between white space."""
-        word = chunk.strip(EDGES)
-        if word in self.words:
-            return word, self.words[word].weight, 0
-        for n in self.lengths:
-            start = self.starts.get(word[:n]) if len(word) >= n else None
-            if start is not None:
-                return start.text, start.weight, 0
-        if len(word) < 4 or word in self.clean:
-            return None
-        near = self.automaton.nearest(word)
-        return near and (near[0], self.words[near[0]].weight * DECAY ** near[1], near[1])
-
     def hits(self, text: str) -> list[tuple[str, float, int, bool, bool]]:
         """(term, weight, edits, quoted, addressed) in text order."""
         chunks, known = text.lower().split(), self.known
@@ -275,16 +284,23 @@ def fit_scorer(
         return Scorer(())
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen = (Counter(), Counter())
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, label in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 words = {w for w in (c.strip(EDGES) for c in set(text.lower().split())) if 2 < len(w) <= 40}
                 starts = {w[:n] for w in words for n in range(SHORTEST_START, len(w))}
                 seen[1 if label else 0].update([(w, False) for w in words] + [(s, True) for s in starts])
-        keys = list(seen[0].keys() | seen[1].keys())
+                if len(seen[0]) + len(seen[1]) >= COUNTED:
+                    yield counts_of(*seen)
+                    seen[0].clear(), seen[1].clear()
+        yield counts_of(*seen)
+
+    def counts_of(clean: Counter, marked: Counter) -> pa.RecordBatch:
+        keys = list(clean.keys() | marked.keys())
         arrays = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_())]
-        arrays += [pa.array([side[k] for k in keys], pa.int64()) for side in (seen[1], seen[0])]
-        yield pa.RecordBatch.from_arrays(arrays, ["entry", "start_only", "pos", "neg"])
+        arrays += [pa.array([side[k] for k in keys], pa.int64()) for side in (marked, clean)]
+        return pa.RecordBatch.from_arrays(arrays, ["entry", "start_only", "pos", "neg"])
 
     summed = (
         sample.mapInArrow(entries, "entry string, start_only boolean, pos long, neg long")
@@ -300,7 +316,7 @@ def fit_scorer(
     def near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for text in batch.column(0).to_pylist():
+            for text in texts_of(batch.column(0)):
                 for chunk in set(text.lower().split()):
                     match = first.known[chunk]
                     if match is not None and match[2]:
@@ -313,7 +329,7 @@ def fit_scorer(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [scorer.features(t) for t in batch.column(0).to_pylist()]
+            values = [scorer.features(t) for t in texts_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values, pa.list_(pa.float64()))], ["label", "x"])
 
     found = sample.mapInArrow(rows, "label int, x array<double>").collect()
@@ -326,8 +342,9 @@ def toxicity_scores(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", tex
     """(doc_id, score) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            scores = pa.array([scorer.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())
+            scores = pa.array([scorer.score(t or "") for t in texts_of(batch.column(1))], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["doc_id", "score"])
 
     source = picked(docs, doc_id=id_col, text=text_col)
@@ -347,8 +364,9 @@ def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            yield batch.filter(pa.array([scorer.score(t or "") < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([scorer.score(t or "") < 0.5 for t in texts_of(batch.column(at))], pa.bool_()))
 
     numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold dots
     return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

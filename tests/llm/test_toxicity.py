@@ -1,10 +1,17 @@
 """Automata against plain edit distances; scores by held-out accuracy on the given table."""
 
+import gc
 import math
 import random
+import weakref
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from loadcurve.llm import toxicity
+from loadcurve.llm.columns import held, let_go, texts_of
+from loadcurve.llm.packing import encoder
 from loadcurve.llm.toxicity import ADDRESS, EDGES, QUOTES, REPORTING, Scorer, Term, TermAutomaton, allowed_edits, keep_civil, toxicity_scores, toxicity_verdicts
 
 SF = "/root/testdata/sf0.01"
@@ -103,3 +110,33 @@ def test_scores_equal_plain_reading(spark):
     for i, text in enumerate(texts[:-1]):
         assert abs(got[i] - plain_score(terms, clean, coefficients, text)) < 1e-12, text
     assert 0.99 < got[len(texts) - 1] <= 1
+
+
+def test_workers_free_what_a_task_remembered():
+    scorer = Scorer([Term("moron", False, 4.0)], coefficients=[0.0, 1.0])
+    assert scorer.score("you mor0n") > 0.5 and len(scorer.known) == 2
+    gone = weakref.ref(scorer.known)
+    gc.disable()
+    try:
+        del scorer
+        assert gone() is None
+        path = public_tokenizers.path("word_bpe_49k.json")
+        kept = weakref.ref(encoder(path))
+        assert encoder(path) is kept() and held("other", dict) is held("other", dict)
+        assert kept() is None  # one stage's memory at a time
+        kept = weakref.ref(encoder(path))
+        let_go()
+        assert kept() is None
+    finally:
+        gc.enable()
+    texts = [None, "a", ""] * 100
+    assert list(texts_of(pa.array(texts), 7)) == texts and not list(texts_of(pa.array([], pa.string())))
+
+
+def test_entries_counted_in_turns_give_the_same_scorer(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    whole = toxicity.fit_scorer(docs, labels)
+    monkeypatch.setattr(toxicity, "COUNTED", 500)
+    turns = toxicity.fit_scorer(docs, labels)
+    assert whole.terms and (turns.terms, turns.clean) == (whole.terms, whole.clean)
+    assert list(turns.coefficients) == list(whole.coefficients)
