@@ -14,6 +14,9 @@ from loadcurve.functions.scalars import is_missing
 from loadcurve.operators.projections import numeric_columns
 from loadcurve.session import use_shared_checkpoints
 
+# Rows that a task of boosting passes over.
+TASK_ROWS = 500_000
+
 
 def assemble(
     df: DataFrame, features: Sequence[str] | None = None, target: str = "y", timestamp: str = "timestamp"
@@ -60,14 +63,25 @@ def fit_linear(train: DataFrame) -> LinearRegressionModel:
     return LinearRegression(featuresCol="features", labelCol="label").fit(train)
 
 
+def _dealt_out(train: DataFrame, task_rows: int) -> DataFrame:
+    """More than ``task_rows`` rows in tasks of about that many, so that a task's share does not grow with the table."""
+    n = train.count()
+    if n <= task_rows:
+        return train
+    return train.repartition(max(-(-n // task_rows), train.sparkSession.sparkContext.defaultParallelism))
+
+
 def fit_boosted_trees(
-    train: DataFrame, seed: int = 42, max_iter: int = 20, max_depth: int = 5, step_size: float = 0.1
+    train: DataFrame, seed: int = 42, max_iter: int = 20, max_depth: int = 5, step_size: float = 0.1, task_rows: int = TASK_ROWS
 ) -> GBTRegressionModel:
-    """Gradient-boosted trees; reliable checkpoints cut the lineage between iterations."""
+    """Gradient-boosted trees; reliable checkpoints cut the lineage between iterations.
+
+    Every pass reads a task's rows from the cache, some 100 bytes and more each; ``task_rows`` bounds them.
+    """
     use_shared_checkpoints(train.sparkSession)
     return GBTRegressor(
         featuresCol="features", labelCol="label", seed=seed, maxIter=max_iter, maxDepth=max_depth, stepSize=step_size
-    ).fit(train)
+    ).fit(_dealt_out(train, task_rows))
 
 
 def score(model, df: DataFrame, prediction: str = "prediction") -> DataFrame:

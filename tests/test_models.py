@@ -64,6 +64,19 @@ def test_training_beats_the_mean_predictor(linear, spark):
         regression.feature_importance(trained.boosted, ["x1"], linear)
 
 
+def test_boosting_deals_its_rows_into_bounded_tasks(frame):
+    rows = [("s", at(i), float(i % 7), 1.0, 100.0 if i % 7 > 3 else -100.0) for i in range(2000)]
+    train = regression.assemble(frame(rows, "unique_id string, timestamp timestamp, x double, noise double, y double").coalesce(1), ["x", "noise"])
+    dealt = regression._dealt_out(train, 100)
+    per_task = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) == 20 and sum(per_task) == 2000 and max(per_task) <= 110
+    assert regression._dealt_out(train, 2000) is train
+    whole, parts = regression.fit_boosted_trees(train, max_iter=3), regression.fit_boosted_trees(train, max_iter=3, task_rows=100)
+    assert whole.featureImportances == parts.featureImportances
+    both = regression.score(whole, regression.score(parts, train, "parts"), "whole")
+    assert both.filter("abs(parts - whole) > 1e-9").count() == 0
+
+
 def test_checkpoints_use_the_shared_folder(spark):
     use_shared_checkpoints(spark)
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
