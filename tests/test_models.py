@@ -77,6 +77,22 @@ def test_boosting_deals_its_rows_into_bounded_tasks(frame):
     assert both.filter("abs(parts - whole) > 1e-9").count() == 0
 
 
+def test_metrics_query_joins_its_tables_once(spark, monkeypatch):
+    from checks import ALL_QUERIES
+
+    class Reached(Exception):
+        pass
+
+    def stop(merged, **_):
+        raise Reached(merged.inputFiles())
+
+    monkeypatch.setattr(features, "build_features", stop)
+    with pytest.raises(Reached) as reached:
+        ALL_QUERIES["q3_model_metrics"](spark, "/root/testdata/sf0.001")
+    read = reached.value.args[0]
+    assert read and all("/merged-" in path for path in read)
+
+
 def test_checkpoints_use_the_shared_folder(spark):
     use_shared_checkpoints(spark)
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
