@@ -77,6 +77,27 @@ def test_boosting_deals_its_rows_into_bounded_tasks(frame):
     assert both.filter("abs(parts - whole) > 1e-9").count() == 0
 
 
+@pytest.mark.parametrize("query", ["x10_importance_of_step_target"])
+def test_boosting_queries_fit_bounded_tasks(spark, monkeypatch, query):
+    from checks import ALL_QUERIES
+
+    class Reached(Exception):
+        pass
+
+    def stop(_, rows):
+        raise Reached([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()])
+
+    # 1.2 million rows that one task scans
+    folder = scratch_path(spark, "tables")
+    lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    lines.union(lines).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    monkeypatch.setattr(regression.GBTRegressor, "fit", stop)
+    with pytest.raises(Reached) as reached:
+        ALL_QUERIES[query](spark, folder)
+    per_task = reached.value.args[0]
+    assert 900_000 < sum(per_task) <= 1_200_000 and max(per_task) <= 500_000
+
+
 def test_metrics_query_joins_its_tables_once(spark, monkeypatch):
     from checks import ALL_QUERIES
 
