@@ -77,7 +77,7 @@ def test_boosting_deals_its_rows_into_bounded_tasks(frame):
     assert both.filter("abs(parts - whole) > 1e-9").count() == 0
 
 
-@pytest.mark.parametrize("query", ["x10_importance_of_step_target"])
+@pytest.mark.parametrize("query", ["x10_importance_of_step_target", "x11_saved_trees_score_alike"])
 def test_boosting_queries_fit_bounded_tasks(spark, monkeypatch, query):
     from checks import ALL_QUERIES
 
